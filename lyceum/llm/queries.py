@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import bpe_codec, simhash, token_counts
+from lyceum.llm import bpe_codec, pii, simhash, token_counts, toxicity
 from lyceum.llm.shared import table
 
 
@@ -16,6 +16,16 @@ def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("fits")[0].alias("chars_within_limit"))
 
 
+def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severities(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic")))
+
+
+def op6_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_token_counts": op1_prefix_token_counts,
+    "op5_toxicity_ordinal": op5_toxicity_ordinal,
+    "op6_pii_boosted_candidates": op6_pii_boosted_candidates,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_simhash_multi_index": op9_simhash_multi_index,
 }
