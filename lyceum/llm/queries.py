@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import bpe_codec, pii, simhash, token_counts, toxicity
+from lyceum.llm import bpe_codec, mixing, pii, simhash, token_counts, toxicity
 from lyceum.llm.shared import table
 
 
@@ -16,6 +16,11 @@ def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("fits")[0].alias("chars_within_limit"))
 
 
+def op4_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
 def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.severities(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic")))
@@ -37,10 +42,44 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_token_counts": op1_prefix_token_counts,
+    "op4_mixing_curriculum": op4_mixing_curriculum,
     "op5_toxicity_ordinal": op5_toxicity_ordinal,
     "op6_pii_boosted_candidates": op6_pii_boosted_candidates,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_simhash_multi_index": op9_simhash_multi_index,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing_curriculum": """
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS cycle
+  FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE cycle WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         CASE cycle WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS tilt, 2.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, cap / weight AS fill,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted),
+settled AS (SELECT arg_min(level, struct_pack(f := fill, n := source IS NULL, s := source)) FILTER (WHERE level <= fill) AS final FROM levels),
+targets AS (SELECT source, source_size, tilt, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM levels, settled),
+queued AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.tilt,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(round(target) / source_size) ELSE 0 END AS BIGINT) AS passes FROM queued),
+final AS (
+  SELECT *, CAST(passes * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - passes * source_size - place)) AS BIGINT) AS taken,
+         place / greatest(target, 1.0::DOUBLE) AS share FROM taken)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN round(least(1.0::DOUBLE, CASE WHEN tilt = 0 THEN share
+         ELSE 2 * share / ((1 - tilt) + sqrt(greatest(0.0::DOUBLE, (1 - tilt) * (1 - tilt) + 4 * tilt * share))) END), 6) END AS position
+FROM final
+""",
+}
