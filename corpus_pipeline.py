@@ -1,5 +1,58 @@
-"""A corpus pipeline of operators from lyceum.llm."""
-STAGES = []
+"""A corpus pipeline: from the documents of a crawl to the token ids that a training run reads.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns that came
+in; the last returns a row per text to train on. A stage works on all that the one before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lyceum.llm import bpe_codec, mixing, pii, simhash, toxicity
+from lyceum.llm.shared import cut, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted severity is that of toxic ones go; the model is fitted on the labels table."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes the name of its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or thinned to their targets, in training order."""
+    return mixing.in_training_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text as token ids, with the digest of the ids and of what they decode to."""
+    return bpe_codec.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash_dedup", drop_near_duplicates),
+    ("pii_redaction", redact_personal_data),
+    ("source_mixing", mix_sources),
+    ("bpe_encoding", encode),
+]
+
+#: SQL expresses neither the fitted models nor BPE; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what a stage returns is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
