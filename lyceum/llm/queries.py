@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import bpe_codec, mixing, pii, simhash, token_counts, toxicity
+from lyceum.llm import ann, bpe_codec, mixing, pii, simhash, token_counts, toxicity, warc
 from lyceum.llm.shared import table
 
 
@@ -16,6 +16,15 @@ def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("fits")[0].alias("chars_within_limit"))
 
 
+def op2_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
@@ -42,6 +51,8 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_token_counts": op1_prefix_token_counts,
+    "op2_ivfpq_search": op2_ivfpq_search,
+    "op3_warc_normaliser": op3_warc_normaliser,
     "op4_mixing_curriculum": op4_mixing_curriculum,
     "op5_toxicity_ordinal": op5_toxicity_ordinal,
     "op6_pii_boosted_candidates": op6_pii_boosted_candidates,
@@ -50,6 +61,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_normaliser": """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+stored AS (SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN s.first IS NULL OR p.page_id = s.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN s.first IS NULL OR p.page_id = s.first THEN NULL ELSE s.first END AS refers_to
+FROM payloads p LEFT JOIN stored s USING (payload_digest)
+""",
     "op4_mixing_curriculum": """
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
