@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import ann, bpe_codec, mixing, pii, simhash, token_counts, toxicity, warc
+from lyceum.llm import ann, bpe_codec, forest, mixing, pii, simhash, token_counts, toxicity, warc
 from lyceum.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op6_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing_curriculum": op4_mixing_curriculum,
     "op5_toxicity_ordinal": op5_toxicity_ordinal,
     "op6_pii_boosted_candidates": op6_pii_boosted_candidates,
+    "op7_projection_forest": op7_projection_forest,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_simhash_multi_index": op9_simhash_multi_index,
 }

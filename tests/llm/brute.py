@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, from their contracts, for comparison."""
 
 import hashlib
+import math
 import re
 
+import numpy as np
 import xxhash
 
 PII = {
@@ -66,5 +68,24 @@ def components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+def vector_groups(rows, threshold):
+    """vec_id to number of links and component, by comparing all pairs."""
+    usable = {}
+    for r in rows:
+        v = r["embedding"]
+        if r["label"] is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            usable[r["vec_id"]] = (r["label"], np.array(v, dtype=np.float64))
+
+    def linked(a, b):
+        if a not in usable or b not in usable or usable[a][0] != usable[b][0] or len(usable[a][1]) != len(usable[b][1]):
+            return False
+        x, y = usable[a][1], usable[b][1]
+        return float(x @ y) / math.sqrt(float(x @ x) * float(y @ y)) >= threshold
+
+    ids = [r["vec_id"] for r in rows]
+    groups = components(ids, linked)
+    return {i: (sum(linked(i, j) for j in ids if j != i), groups[i]) for i in ids}
+
+
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
