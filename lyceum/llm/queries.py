@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import ann, bpe_codec, forest, mixing, pii, simhash, token_counts, toxicity, warc
+from lyceum.llm import ann, bpe_codec, forest, mixing, passages, pii, simhash, token_counts, toxicity, warc
 from lyceum.llm.shared import table
 
 
@@ -53,6 +53,10 @@ def op9_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_token_counts": op1_prefix_token_counts,
     "op2_ivfpq_search": op2_ivfpq_search,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_projection_forest": op7_projection_forest,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_simhash_multi_index": op9_simhash_multi_index,
+    "op10_paragraph_minhash": op10_paragraph_minhash,
 }
 
 ORACLES: dict[str, str] = {

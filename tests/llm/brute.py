@@ -89,3 +89,24 @@ def vector_groups(rows, threshold):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def words_of(text):
+    """(word, start, stop, line) of each word, A-Z as a-z."""
+    line, out = 0, []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text or ""):
+        if m[0] == "\n":
+            line += 1
+        else:
+            out.append(("".join(c.lower() if "A" <= c <= "Z" else c for c in m[0]), m.start(), m.end(), line))
+    return out
+
+
+def paragraphs_of(text, least=24):
+    """(shingles, start, stop) of each line of enough words."""
+    lines = {}
+    for w in words_of(text):
+        lines.setdefault(w[3], []).append(w)
+    for ws in lines.values():
+        if len(ws) >= least:
+            yield frozenset(tuple(w[0] for w in ws[i : i + 5]) for i in range(len(ws) - 4)), ws[0][1], ws[-1][2]

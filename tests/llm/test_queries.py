@@ -159,3 +159,45 @@ def test_op9(spark, docs):
     expected = brute.components(list(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
     found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run(spark, "op9_simhash_multi_index")}
     assert found == {i: (f"{fps[i]:016x}", expected[i]) for i in fps}
+
+
+def test_op10(spark, docs):
+    """All that repeats is found, and nothing else is: by runs of 51 words, by windows, and by all pairs of lines."""
+    found = defaultdict(list)
+    for r in run(spark, "op10_paragraph_minhash"):
+        found[r["doc_id"]].append((r["start"], r["stop"], r["kept"], r["first_doc_id"]))
+    words = {d["doc_id"]: brute.words_of(d["text"]) for d in docs}
+    where = {n: defaultdict(set) for n in (24, 51)}
+    for i, ws in words.items():
+        for n, seen in where.items():
+            for k in range(len(ws) - n + 1):
+                seen[tuple(w[0] for w in ws[k : k + n])].add((i, k))
+    lines = [(i, *p) for i, d in ((d["doc_id"], d) for d in docs) for p in brute.paragraphs_of(d["text"])]
+    near = defaultdict(set)
+    holders = defaultdict(set)
+    for k, line in enumerate(lines):
+        for s in line[1]:
+            holders[s].add(k)
+    for k, (i, shingles, start, stop) in enumerate(lines):
+        for other in set().union(*(holders[s] for s in shingles)) - {k}:
+            common = len(shingles & lines[other][1])
+            if common >= 0.8 * (len(shingles) + len(lines[other][1]) - common):
+                near[i].add((start, stop, lines[other][0]))
+    for i, ws in words.items():
+        inside = lambda a, b, spans: any(s <= a and b <= e for s, e, *_ in spans)
+        for k in range(len(ws) - 50):
+            if len({d for d, _ in where[51][tuple(w[0] for w in ws[k : k + 51])]}) > 1:
+                assert any(s < ws[k + 50][2] and ws[k][1] < e for s, e, *_ in found[i]), (i, k)
+        for start, stop, other in near[i]:
+            assert other == i or inside(start, stop, found[i]), (i, start, stop)
+        for s, e, kept, first in found[i]:
+            assert kept == (first == i) or first == i and not kept
+            covered = set()
+            for k in range(len(ws) - 23):
+                if len(where[24][tuple(w[0] for w in ws[k : k + 24])]) > 1:
+                    covered.update(range(ws[k][1], ws[k + 23][2]))
+            for a, b, _ in near[i]:
+                covered.update(range(a, b))
+            for w in ws:
+                if s <= w[1] and w[2] <= e:
+                    assert w[1] in covered, (i, s, e, w)
