@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyceum.plans import relational
+
+PACKS = (relational,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for pack in PACKS for name, (run, _) in pack.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries that SQL can't express have no counterpart; tests compare them with plain versions."""
+    return {name: sql for pack in PACKS for name, (_, sql) in pack.QUERIES.items() if sql}
