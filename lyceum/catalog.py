@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.plans import relational
+from lyceum.plans import activity, relational, study
 
-PACKS = (relational,)
+PACKS = (relational, activity, study)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
