@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.plans import activity, relational, study
+from lyceum.plans import activity, relational, study, text
 
-PACKS = (relational, activity, study)
+PACKS = (relational, activity, study, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
