@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.plans import activity, relational, study, text
+from lyceum.plans import activity, exam, relational, study, text
 
-PACKS = (relational, activity, study, text)
+PACKS = (relational, activity, study, text, exam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
