@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from lyceum.functions import words
 
 
-def _set(values) -> Column:
-    return F.array(*[F.lit(v) for v in dict.fromkeys(values)])
-
-
 def normal_arabic(text: Column, strip_marks: bool = True) -> Column:
     """One spelling per word. The stricter form takes the diacritics out as well."""
     bare = F.regexp_replace(text, "[\u064b-\u065f\u0670\u0640]", "") if strip_marks else text
@@ -35,9 +31,9 @@ def content_tokens(text: Column) -> Column:
     names = {w: group.split()[0] for group in words.SYNONYMS for w in group.split()}
     names = {w: first for w, first in names.items() if w != first}
     same = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    empty = _set([*words.STOP, *words.STOP_AR, *words.SCAFFOLD, *words.SCAFFOLD_AR])
-    kept = F.filter(tokens(text), lambda w: ~F.array_contains(empty, w))
-    return F.transform(kept, lambda w: F.coalesce(F.try_element_at(same, w), w))
+    empty = {*words.STOP, *words.STOP_AR, *words.SCAFFOLD, *words.SCAFFOLD_AR}
+    kept = F.filter(tokens(text), lambda w: ~w.isin(sorted(empty)))
+    return F.transform(kept, lambda w: F.when(w.isin(sorted(names)), F.try_element_at(same, w)).otherwise(w))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -98,9 +94,9 @@ def heading_like(line: Column) -> Column:
     s = F.trim(line)
     parts = F.split(s, r"\s+")
     low = F.transform(parts, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
-    verbs, nouns = _set(words.PREDICATES), _set(words.DETERMINERS)
+    verbs, nouns = sorted(set(words.PREDICATES)), words.DETERMINERS
     before = F.concat(F.array(F.lit("")), F.slice(low, 1, F.greatest(F.size(low) - 1, F.lit(0))))
-    states = F.exists(F.arrays_zip(low.alias("w"), before.alias("b")), lambda z: F.array_contains(verbs, z["w"]) & ~F.array_contains(nouns, z["b"]))
+    states = F.exists(F.arrays_zip(low.alias("w"), before.alias("b")), lambda z: z["w"].isin(verbs) & ~z["b"].isin(nouns))
     named = s.rlike(r"^\s*\d{1,3}(?:\.\d{1,3})*\s*[-.–:)]?\s+\S") | s.rlike(words.NAMED_HEADING)
     shaped = named | ((F.size(parts) <= 9) & ~s.rlike(r"[.!?؟:;]$")) | s.rlike(r"^[A-Z][A-Z0-9&'’\-\s]{3,60}$")
     return F.when(s == "", True).otherwise((F.size(parts) <= 12) & ~states & shaped)

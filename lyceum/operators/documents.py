@@ -63,7 +63,7 @@ def budgeted(pages: DataFrame, budget: int) -> DataFrame:
 def browser_tokens(text: Column, stop: list[str]) -> Column:
     """Words of three letters and more, without the stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z'-]{2,}"), F.lit(0))
-    return F.filter(found, lambda w: ~F.array_contains(F.array(*map(F.lit, stop)), w))
+    return F.filter(found, lambda w: ~w.isin(sorted(set(stop))))
 
 
 def term_frequencies(rows: DataFrame, tokens: Column, *by: str) -> DataFrame:
@@ -144,9 +144,10 @@ def grounded(quotes: DataFrame, pages: DataFrame, least_tokens: int = 4) -> Data
     nxt = F.when(F.lead("page").over(order) == F.col("page") + 1, F.lead("t").over(order))
     p = p.withColumn("both", F.concat("t", F.coalesce(nxt, F.array().cast("array<string>"))))
     runs = F.when(F.size("both") >= k, F.transform(F.sequence(F.lit(1), F.size("both") - k + 1), lambda i: F.array_join(F.slice("both", i, k), " ")))
-    keyed = p.select("doc_id", "page", F.array_join("both", " ").alias("hay"), F.explode(F.array_distinct(runs)).alias("key"))
-    # the page's text travels once per run that some quote begins with, as the join on keys comes first
-    return keyed.select("doc_id", "page", "hay", "key").join(q, "key").filter(F.contains("hay", F.col("quote"))).select("quote_id", "doc_id", "page").distinct()
+    keyed = p.select("doc_id", "page", F.explode(F.array_distinct(runs)).alias("key"))  # narrow rows; texts join the few that meet
+    met = keyed.join(q.select("quote_id", "key"), "key").select("quote_id", "doc_id", "page").distinct()
+    found = met.join(q.select("quote_id", "quote"), "quote_id").join(p.select("doc_id", "page", F.array_join("both", " ").alias("hay")), ["doc_id", "page"])
+    return found.filter(F.contains("hay", F.col("quote"))).select("quote_id", "doc_id", "page")
 
 
 def first_kept(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
