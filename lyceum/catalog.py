@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.plans import activity, exam, relational, streams, study, text
+from lyceum.plans import activity, exam, records, relational, streams, study, text
 
-PACKS = (relational, activity, study, text, exam, streams)
+PACKS = (relational, activity, study, text, exam, streams, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
