@@ -129,6 +129,6 @@ def test_best_of_each(spark):
     assert sorted(r["id"] for r in exam.best_of_each(df).collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("name", ["i3_cleaned_pages", "i5_headings", "j3_distractors", "j12_audit", "f15_best_of_each", "g11_first_of_near_copies", "h11_bullets"])
+@pytest.mark.parametrize("name", ["i3_cleaned_pages", "i5_headings", "j3_distractors", "j12_audit", "f15_best_of_each", "g11_first_of_near_copies", "h11_bullets", "i32_distractors"])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
