@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyceum.llm.shared import cut
+
 #: The fit sees at most so many labelled rows of grade 0, and so many of higher grades. It is the only part
 #: that samples; rows are chosen by a hash of their id. Everything else covers all documents.
 MOST_CLEAN, MOST_TOXIC = 9_000, 5_000
@@ -154,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column) -> Severity:
             model = fit(data["text"].tolist(), data["__grade"].tolist(), data["__weight"].tolist())
             yield pd.DataFrame({"feature": [*model.weights, *[None] * len(model.thresholds)], "value": [*model.weights.values(), *model.thresholds]})
 
-    found = rows.coalesce(1).mapInPandas(run, "feature string, value double").collect()  # at most MOST_FEATURES rows and the thresholds
+    sample_rows = cut(rows, "toxicity-sample")  # found by all tasks; only the bounded sample goes to one
+    found = sample_rows.coalesce(1).mapInPandas(run, "feature string, value double").collect()  # at most MOST_FEATURES rows and the thresholds
     return Severity({r["feature"]: r["value"] for r in found if r["feature"] is not None}, sorted(r["value"] for r in found if r["feature"] is None))
 
 
