@@ -75,7 +75,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _compare(unit: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """node, links counted here, and the smallest node that it reaches within the unit."""
+    """node, links counted here, and the smallest node that it reaches within the unit, of nodes that have either."""
     ids, copies = np.asarray(unit["node"]), np.asarray(unit["copies"])
     order = np.argsort(ids)
     ids, copies = ids[order], copies[order].astype(np.float64)
@@ -99,7 +99,8 @@ def _compare(unit: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray, np
         seen = seen[order]
         counts = (linked & (seen @ seen.T == 0)) @ copies
     labels = spread_labels(linked)
-    return ids, counts.astype(np.int64), ids[labels]
+    tied = (counts > 0) | (labels != np.arange(len(ids)))  # the rest has nothing to say
+    return ids[tied], counts[tied].astype(np.int64), ids[labels[tied]]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES) -> DataFrame:
@@ -154,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TR
         return pa.table({"node": pa.array(found[0], pa.int64()), "links": pa.array(found[1], pa.int64()), "root": pa.array(found[2], pa.int64())})
 
     seen = units.groupBy("leaf", "label", "unit_a", "unit_b").applyInArrow(look, "node long, links long, root long")
-    seen = cut(seen.filter("links > 0 or root <> node"), "forest-links")
+    seen = cut(seen, "forest-links")
     links = seen.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(seen.select(F.col("node").alias("a"), F.col("root").alias("b")))
     by_node = nodes.join(links, "node", "left").join(groups, "node", "left")
