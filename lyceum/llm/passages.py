@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ SHINGLE = 5
 #: The table of paragraphs to verify goes to every task up to so many rows (about 50 bytes each); else it is joined by shuffle.
 MOST_BROADCAST = 400_000
 
+#: Bytes of a text, and hashes of a table, worked on at once.
+_PIECE = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _ENTRY, _PARAGRAPH, _WITHIN = 0, 1, 2
 _ROWS = "kind int, doc_id long, a long, b long, start int, stop int, bands array<long>"
@@ -60,16 +61,6 @@ class _Powers:
                     into.append(np.multiply.accumulate(steps))
 
 
-class _Memo(dict):
-    """Hash of each word met."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -96,20 +87,28 @@ class Reader:
     """Entries and paragraphs of texts."""
 
     def __init__(self, bands: int, rows: int):
-        self.memo, self.powers, self.bands, self.rows = _Memo(), _Powers(), bands, rows
+        self.powers, self.bands, self.rows = _Powers(), bands, rows
         rng = np.random.default_rng(5)
         self.scale = rng.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def words(self, text: str):
         """Word hashes, code-point starts and ends, and lines of the words."""
-        data = text.encode("utf-8", "surrogatepass").lower()
-        hashes = np.fromiter(map(self.memo.__getitem__, data.split()), dtype=np.uint64)
-        raw = np.frombuffer(data, dtype=np.uint8)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
         blank = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
         starts = np.flatnonzero(blank[:-1] & ~blank[1:])
         ends = np.flatnonzero(~blank[:-1] & blank[1:])
         places = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         lines = np.cumsum(raw == 10)[starts] if len(starts) else starts
+        hashes, i = np.empty(len(starts), dtype=np.uint64), 0
+        while i < len(starts):  # in pieces, so that a very long text needs no more powers than its longest word
+            low = starts[i]
+            j = int(np.searchsorted(starts, low + _PIECE))
+            piece = raw[low : ends[j - 1]]
+            self.powers.up_to(len(piece) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * self.powers.power[0][: len(piece)], dtype=np.uint64)])
+            at, to = starts[i:j] - low, ends[i:j] - low
+            hashes[i:j] = _mixed((sums[to] - sums[at]) * self.powers.inverse[0][at] + (to - at).astype(np.uint64))
+            i = j
         return hashes, places[starts].astype(np.int32), places[ends].astype(np.int32), lines
 
     def shingles(self, hashes: np.ndarray) -> np.ndarray:
@@ -161,12 +160,16 @@ class Reader:
                 a, b, i, j = first_of_each(low[long], high[long])
                 edges = np.stack([i, j - SHINGLE + 1], axis=1).ravel()
                 some = np.append(shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
-                bands = np.zeros((len(a), self.bands), dtype=np.uint64)
-                for k, scale in enumerate(self.scale):
-                    value = some * scale
-                    least = np.minimum.reduceat(value ^ (value >> np.uint64(31)), edges)[::2]
-                    bands[:, k // self.rows] = _mixed(bands[:, k // self.rows] * np.uint64(_ODD[1]) + least + np.uint64(k // self.rows))
-                yield _PARAGRAPH, a, b, starts[i], ends[j - 1], bands.view(np.int64)
+                least = np.empty((len(self.scale), len(a)), dtype=np.uint64)
+                step = max(1, _PIECE // len(some))  # so many hashes at once that memory stays bounded
+                for k in range(0, len(self.scale), step):
+                    value = some[None, :] * self.scale[k : k + step, None]
+                    value ^= value >> np.uint64(31)
+                    least[k : k + step] = np.minimum.reduceat(value, edges, axis=1)[:, ::2]
+                joined = np.tile(np.arange(self.bands, dtype=np.uint64)[:, None], (1, len(a)))
+                for r in range(self.rows):
+                    joined = joined * np.uint64(_ODD[1]) + least[r :: self.rows]
+                yield _PARAGRAPH, a, b, starts[i], ends[j - 1], np.ascontiguousarray(_mixed(joined).T).view(np.int64)
             if within:
                 i, j = (np.concatenate(x) for x in zip(*within))
                 order = np.argsort(i, kind="stable")
