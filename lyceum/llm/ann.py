@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals, and exact reranking.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every vector is indexed:
-its cell, a code of one byte per subspace, and the vector itself for the reranking. A query looks into the
-cells nearest to it, ranks their vectors by asymmetric distance tables (inner products of the query with all
-codewords, added up by code), and takes the exact products of the best. The number of cells to look into is
-the smallest that reaches `recall` on held-out sample queries.
+Equal vectors are one node, which keeps its k + 1 smallest ids: a query takes no more, its own left out. Coarse
+centroids and the codebooks of the residuals are fitted on a bounded sample; every node is indexed: its cell, a
+code of one byte per subspace, the length of what the code leaves out, and the vector itself for the reranking.
+A query looks into the cells nearest to it and ranks their nodes by asymmetric distance tables (inner products of
+the query with all codewords, added up by code). The true product is within the query's length times the length
+left out, so every node that may reach the last place gets its exact product: in the cells looked into nothing is
+lost. The number of cells is the smallest that reaches `recall` on held-out sample queries, and as many more as
+a query needs for k ids.
 
 The index is dealt out in shards of about SHARD rows: small cells share one, a large cell is spread over
 several. Queries go to the shards of their cells, many queries to a shard in blocks. A task holds one shard
@@ -28,8 +31,6 @@ SAMPLE = 20_000
 CELLS = 256
 SUBSPACES, CODEWORDS = 16, 256
 SHARD, BLOCK = 8_192, 4_096
-#: Vectors of a cell's shard that a query reranks exactly, per result asked for.
-RERANK = 5
 _TRIALS = 400
 
 
@@ -68,15 +69,19 @@ class Index:
         rest = x - self.centroids[cells]
         return cells, np.stack([_nearest(rest[:, p], book) for p, book in zip(self.parts(), self.books)], axis=1).astype(np.uint8)
 
+    def left_out(self, x: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave out."""
+        rest = x - self.centroids[cells]
+        return np.sqrt(sum(((rest[:, p] - book[codes[:, m]]) ** 2).sum(1) for m, (p, book) in enumerate(zip(self.parts(), self.books))))
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         return [queries[:, p] @ book.T for p, book in zip(self.parts(), self.books)]
 
-    def cells_of(self, queries: np.ndarray) -> np.ndarray:
-        """The cells to look into, by the inner product with their centroids."""
-        products = queries @ self.centroids.T
-        if self.probes >= len(self.centroids):
-            return np.tile(np.arange(len(self.centroids)), (len(queries), 1))
-        return np.argpartition(-products, self.probes - 1, axis=1)[:, : self.probes]
+    def cells_of(self, queries: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """The cells to look into, by the inner product with their centroids: `probes`, or until they hold `least` ids."""
+        order = np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")
+        enough = (np.cumsum(held[order], axis=1) < least).sum(1) + 1
+        return [cells[:n].astype(np.int32) for cells, n in zip(order, np.maximum(enough, self.probes))]
 
 
 def fit(sample: np.ndarray, k: int = 20, recall: float = 0.96, seed: int = 7) -> Index:
@@ -107,35 +112,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """(query_id, rank, vec_id, score): the k best vectors found for each query, by exact inner product in
     double precision, ties to the smaller vec_id; a query's own id is no candidate.
 
-    vectors and queries: (vec_id, embedding). Vectors that are null, of another length than the sample's
+    vectors and queries: (vec_id, embedding). Vectors that are null, of another length than the table's
     most frequent one, zero, or hold null or non-finite components take no part; nor do null ids. Of rows
     that repeat an id, the one with the smallest vector counts. Without vectors the result is empty.
     """
     spark = vectors.sparkSession
     one = lambda df: df.filter(F.col("vec_id").isNotNull() & usable_vector(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("v"))
     base = cut(one(vectors), "ann-vectors")
-    rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # the bounded sample
     out = "query_id long, rank int, vec_id long, score double"
-    if not rows:
+    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    if not lengths:
         return spark.createDataFrame([], out)
-    lengths = [len(r["v"]) for r in rows]
-    dim = max(sorted(set(lengths)), key=lengths.count)
-    index = fit(np.array([r["v"] for r in rows if len(r["v"]) == dim]), k, recall)
+    dim = lengths[0]["dim"]
     of_dim = F.size("v") == dim
+    # Equal vectors are one node; the window drops what is beyond the k + 1 smallest ids before the shuffle.
+    first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    ids = base.filter(of_dim).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
+    nodes = cut(ids.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v"), "ann-nodes")
+    rows = nodes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).collect()  # the bounded sample
+    index = fit(np.array([r["v"] for r in rows]), k, recall)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, codes = index.encode(_matrix(batch.column(1), dim))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "cell", "code"])
+            x = _matrix(batch.column(1), dim)
+            cells, codes = index.encode(x)
+            coded = [pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.left_out(x, cells, codes), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *coded], ["ids", "v", "cell", "code", "off"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = index.cells_of(_matrix(batch.column(1), dim))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "q", "cells"])
+            cells = index.cells_of(_matrix(batch.column(1), dim), held, k + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
-    entered = cut(base.filter(of_dim).mapInArrow(enter, "vec_id long, v array<double>, cell int, code binary"), "ann-index")
+    entered = cut(nodes.mapInArrow(enter, "ids array<long>, v array<double>, cell int, code binary, off double"), "ann-index")
     # Shards: from the sizes of the cells, a table bounded by their number.
-    sizes = {r["cell"]: r["n"] for r in entered.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    counted = entered.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    sizes = {r["cell"]: r["n"] for r in counted}
+    held = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in counted:
+        held[r["cell"]] = r["ids"]
     shards, filled, at = {}, 0, 0
     for cell in sorted(sizes):
         if filled and filled + sizes[cell] > SHARD:
@@ -144,7 +159,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         shards[cell] = [at + i for i in range(spread)]
         at, filled = (at, filled + sizes[cell]) if spread == 1 else (at + spread, 0)
     of_cell = F.create_map(*[x for c, s in shards.items() for x in (F.lit(c), F.array(*map(F.lit, s)))])
-    entered = entered.withColumn("s", of_cell[F.col("cell")]).withColumn("shard", F.col("s")[F.pmod(F.xxhash64("vec_id"), F.size("s")).cast("int")]).drop("s")
+    entered = entered.withColumn("s", of_cell[F.col("cell")]).withColumn("shard", F.col("s")[F.pmod(F.xxhash64(F.col("ids")[0]), F.size("s")).cast("int")]).drop("s")
     asked = one(queries).filter(of_dim).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(ask, "query_id long, q array<double>, cells array<int>")
     asked = asked.withColumn("shards", F.array_distinct(F.flatten(F.transform("cells", lambda c: F.coalesce(of_cell[c], F.array().cast("array<int>"))))))
     asked = cut(asked.select("query_id", "q", "cells", F.explode("shards").alias("shard")), "ann-queries")
@@ -165,31 +180,40 @@ def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple
     """The k best of one shard for each query of one block."""
     entries, questions = entries.combine_chunks(), questions.combine_chunks()
     take = lambda t, name: t.column(name).combine_chunks()
-    ids, cells = np.asarray(take(entries, "vec_id")), np.asarray(take(entries, "cell"))
-    vectors = _matrix(take(entries, "v"), index.dim)
-    codes = np.frombuffer(b"".join(take(entries, "code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    lists, cells = take(entries, "ids"), np.asarray(take(entries, "cell"))
+    ids, bounds = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+    vectors, off = _matrix(take(entries, "v"), index.dim), np.asarray(take(entries, "off"))
+    codes = np.frombuffer(b"".join(take(entries, "code").to_pylist()), dtype=np.uint8).reshape(len(cells), -1)
     query_ids, queries = np.asarray(take(questions, "query_id")), _matrix(take(questions, "q"), index.dim)
     looked = [set(c) for c in take(questions, "cells").to_pylist()]
+    lengths = np.sqrt((queries**2).sum(1))
+    slack = 1e-9 * lengths * np.sqrt((vectors**2).sum(1)).max()  # more than the sums can be rounded by
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     members = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-    gathered: list[list[np.ndarray]] = [[] for _ in query_ids]
     for start in range(0, len(query_ids), 256):
         part = slice(start, start + 256)
         tables = index.tables(queries[part])
+        products = np.full((len(queries[part]), len(cells)), -np.inf)
         for cell, rows in members.items():
             asking = np.array([i for i, c in enumerate(looked[part]) if cell in c], dtype=int)
-            if not len(asking):
-                continue
-            products = (queries[part][asking] @ index.centroids[cell])[:, None] + sum(t[asking][:, codes[rows, m]] for m, t in enumerate(tables))
-            n = min(len(rows), RERANK * k)
-            nearest = np.argpartition(-products, n - 1, axis=1)[:, :n]
-            for i, near in zip(asking, nearest):
-                gathered[start + i].append(rows[near])
-    for query_id, query, lists in zip(query_ids, queries, gathered):
-        if lists:
-            rows = np.concatenate(lists)
-            rows = rows[ids[rows] != query_id]
-            scores = vectors[rows] @ query
-            order = np.lexsort((ids[rows], -scores))[:k]
-            out.append((np.full(len(order), query_id), ids[rows][order], scores[order]))
+            if len(asking):
+                products[np.ix_(asking, rows)] = (queries[part][asking] @ index.centroids[cell])[:, None] + sum(t[asking][:, codes[rows, m]] for m, t in enumerate(tables))
+        for i, around in enumerate(products, start):
+            rows = _within_reach(around, lengths[i] * off + slack[i], k)
+            scores = vectors[rows] @ queries[i]
+            best = _within_reach(scores, slack[i], k)  # besides the best, what rounding may tie with them
+            rows, scores = rows[best], scores[best]
+            n = bounds[rows + 1] - bounds[rows]
+            at = np.repeat(bounds[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found, scores = ids[at], np.repeat(scores, n)
+            found, scores = found[(other := found != query_ids[i])], scores[other]
+            order = np.lexsort((found, -scores))[:k]
+            out.append((np.full(len(order), query_ids[i]), found[order], scores[order]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _within_reach(around: np.ndarray, error: np.ndarray | float, k: int) -> np.ndarray:
+    """Places whose true value may be among the k + 1 largest (one may be the query itself); -inf is never one."""
+    low = around - error
+    last = np.partition(low, len(low) - k - 1)[len(low) - k - 1] if len(low) > k + 1 else -np.inf
+    return np.flatnonzero((around + error >= last) & (around > -np.inf))
