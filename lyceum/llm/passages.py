@@ -7,7 +7,9 @@ Jaccard similarity decides, in blocks, and the components of verified links are
 
 A passage that sits inside longer paragraphs, or runs over several, is found by its windows: wherever the
 hash of a shingle is the smallest among its neighbours, LEAST_WORDS words from there on are an entry. Any
-passage of LEAST_WORDS + NEIGHBOURS - 1 words holds the same entry wherever it stands. Equal entries link.
+passage of LEAST_WORDS + NEIGHBOURS - 1 words holds the same entry wherever it stands. Equal entries link, and
+where they end a run they are made longer word by word, as long as the longer window stands elsewhere too. A
+passage goes on for less than NEIGHBOURS words beyond its first and last entry, so this reaches its ends.
 
 Words are runs of characters other than space and U+0009 to U+000D; A-Z count as a-z.
 """
@@ -32,10 +34,13 @@ SHINGLE = 5
 #: The table of paragraphs to verify goes to every task up to so many rows (about 50 bytes each); else it is joined by shuffle.
 MOST_BROADCAST = 400_000
 
+#: Surroundings of entries compared at once, on average (about 300 bytes each).
+BUCKET = 10_000
+
 #: Bytes of a text, and hashes of a table, worked on at once.
 _PIECE = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_ENTRY, _PARAGRAPH, _WITHIN = 0, 1, 2
+_ENTRY, _PARAGRAPH, _WITHIN, _AGAIN = 0, 1, 2, 3
 _ROWS = "kind int, doc_id long, a long, b long, start int, stop int, bands array<long>"
 
 
@@ -151,8 +156,11 @@ class Reader:
             anchors = np.flatnonzero(shingles == _sliding(padded, width, np.maximum))
             anchors = anchors[anchors + LEAST_WORDS <= n]
             if len(anchors):
-                a, b, i, j = first_of_each(anchors, anchors + LEAST_WORDS)
-                yield _ENTRY, a, b, starts[i], ends[j - 1], None
+                a, b = digests(anchors, anchors + LEAST_WORDS)
+                again = np.ones(len(a), dtype=bool)
+                again[np.unique(a, return_index=True)[1]] = False
+                for kind, at in ((_ENTRY, ~again), (_AGAIN, again)):
+                    yield kind, a[at], b[at], starts[anchors[at]], ends[anchors[at] + LEAST_WORDS - 1], None
             low = np.concatenate([[0], np.flatnonzero(np.diff(lines)) + 1])
             high = np.concatenate([low[1:], [n]])
             long = high - low >= LEAST_WORDS
@@ -236,6 +244,112 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "cluster long, node string, shingles array<long>")
 
 
+def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Word hashes and edges of the up to NEIGHBOURS - 1 words on either side of the entries wanted (doc_id, start, a, b, left, right).
+
+    at and to are the entry's start and stop; a and b digest it with the nearest word of that side.
+    """
+    by_doc = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("a", "b", "start", "left", "right")).alias("__wanted"))
+    by_doc = F.broadcast(by_doc) if wanted.count() <= MOST_BROADCAST else by_doc
+    found = docs.join(by_doc, F.col("doc_id") == F.col("__doc")).select(F.col("__doc").alias("doc_id"), "text", "__wanted")
+
+    def around(reader: Reader, doc_id: int, text: str, wants: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        hashes, starts, ends, _ = reader.words(text)
+        digests = reader.digests(hashes)
+        a, b, start, left, right = (np.asarray(wants.field(k).to_numpy(zero_copy_only=False)) for k in range(5))
+        i = np.searchsorted(starts, start)
+        fits = i + LEAST_WORDS <= len(hashes)
+        a, b, i, left, right = (x[fits] for x in (a, b, i, left, right))
+        same = np.logical_and(*(x == y for x, y in zip(digests(i, i + LEAST_WORDS), (a, b))))  # rows that repeat a doc_id may differ
+        i, left, right = i[same], left[same], right[same]
+        for before, here in ((True, i[left & (i > 0)]), (False, i[right & (i + LEAST_WORDS < len(hashes))])):
+            stop = here + LEAST_WORDS
+            n = np.minimum(NEIGHBOURS - 1, here if before else len(hashes) - stop)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            step = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+            at = np.repeat(here, n) - 1 - step if before else np.repeat(stop, n) + step
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (hashes[at].view(np.int64), (starts if before else ends)[at])]
+            columns = [np.full(len(here), doc_id, np.int64), starts[here], ends[stop - 1], np.full(len(here), before), *digests(here - before, stop + (not before))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc_id", "at", "to", "before", "a", "b", "words", "edges"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(1, 1)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                    yield from around(reader, doc_id, text.as_py() or "", batch.column(2)[k].values)
+
+    return found.mapInArrow(run, "doc_id long, at int, to int, before boolean, a long, b long, words array<long>, edges array<int>")
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows, in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(new)])
+    return out
+
+
+def _as_far_as_shared(rows: pa.Table) -> pa.Table:
+    """Entries with their surroundings as far as they stand elsewhere too: what an earlier place has, and what only later documents have."""
+    rows = rows.combine_chunks()
+    doc, at, to, before, a, b = (np.asarray(rows[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "at", "to", "before", "a", "b"))
+    lists = [rows[c].combine_chunks() for c in ("words", "edges")]
+    words, edges = (np.asarray(x.flatten()) for x in lists)
+    n = np.asarray(lists[0].value_lengths())
+    first_word = np.concatenate([[0], np.cumsum(n)])[:-1]
+    place = _numbered(doc, at)
+    doc_of = np.empty(place.max() + 1, dtype=np.int64)
+    doc_of[place] = doc
+    alive, group = np.arange(len(doc)), _numbered(before.astype(np.int64), a, b)
+    reach = np.zeros((2, len(doc)), dtype=np.int64)
+    first = np.full((2, len(doc)), np.iinfo(np.int64).max)
+    for e in range(1, NEIGHBOURS):
+        least, most = np.full(group.max() + 1, len(doc)), np.full(group.max() + 1, -1)
+        np.minimum.at(least, group, place[alive])
+        np.maximum.at(most, group, place[alive])
+        leader, last = least[group], most[group]
+        gone = place[alive] > leader
+        kept = ~gone & (doc_of[last] > doc[alive])
+        for k, here in ((0, gone), (1, kept)):
+            reach[k, alive[here]] = e
+            first[k, alive[here]] = np.minimum(first[k, alive[here]], doc_of[leader[here]])
+        more = (leader < last) & (n[alive] > e)
+        alive, group = alive[more], group[more]
+        if not len(alive):
+            break
+        group = _numbered(group, words[first_word[alive] + e])
+    out = []
+    for k in (0, 1):
+        i = np.flatnonzero(reach[k])
+        edge = edges[first_word[i] + reach[k, i] - 1]
+        out.append(pa.table({"doc_id": doc[i], "start": np.where(before[i], edge, at[i]), "stop": np.where(before[i], to[i], edge), "first": first[k, i], "kept": np.full(len(i), k == 1)}))
+    return pa.concat_tables(out)
+
+
+def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, first, kept): passages around entries that stand elsewhere too, to their ends."""
+    entries = found.filter(F.col("kind").isin(_ENTRY, _AGAIN)).select("a", "b", "doc_id", "start", "stop", (F.col("kind") == _AGAIN).alias("again"))
+
+    held = entries.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("again").cast("int")).alias("repeated"))
+    kept = (F.col("doc_id") == F.col("first")) & ~F.col("again")  # no document or place comes before
+    shared = entries.join(held.filter("first < last or repeated > 0"), ["a", "b"]).withColumn("kept", kept).filter(~kept | (F.col("first") < F.col("last")))
+    shared = cut(shared.select("a", "b", "doc_id", "start", "stop", "first", "kept"), "passages-entries")
+    in_order = Window.partitionBy("doc_id", "kept").orderBy("start")
+    left = F.coalesce(F.lag("stop").over(in_order) < F.col("start"), F.lit(True))
+    right = F.coalesce(F.lead("start").over(in_order) > F.col("stop"), F.lit(True))
+    ends = shared.select("a", "b", left.alias("left"), right.alias("right")).filter(F.col("left") | F.col("right")).groupBy("a", "b").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    # What stands elsewhere as a part of a longer run counts as well, so all places of such entries are wanted.
+    wanted = cut(entries.join(ends, ["a", "b"]).select("doc_id", "start", "a", "b", "left", "right").distinct(), "passages-ends")
+    around = cut(_surroundings(docs, wanted), "passages-around")
+    # By the nearest word too, so places of a common entry are apart unless they go on alike.
+    buckets = max(1, around.count() // BUCKET)
+    around = around.withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
+    longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, first long, kept boolean")
+    return shared.select("doc_id", "start", "stop", "first", "kept").union(longer)
+
+
 def _compare(unit: pa.Table, similarity: float) -> pa.Table:
     """Spanning links of a unit: each node with the smallest that it reaches there."""
     nodes = np.array(unit["node"].to_pylist(), dtype=object)
@@ -275,9 +389,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, row
     rows that repeat a doc_id are one document; only doc_id and text are read.
     """
     found = cut(_read(docs, tuned_bands(similarity, recall, rows), rows), "passages")
-    entries = found.filter(F.col("kind") == _ENTRY).select("a", "b", "doc_id", "start", "stop")
-    shared = entries.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    by_entry = entries.join(shared, ["a", "b"]).select("doc_id", "start", "stop", "first")
+    by_entry = _entries(docs, found)
     paragraphs = found.filter(F.col("kind") == _PARAGRAPH)
     classes = cut(paragraphs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "passages-paragraphs")
     near = _verified(docs, paragraphs, classes, similarity)
@@ -288,7 +400,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, row
     by_class = tied.select("a", "b", "component").join(ends, "component").select("a", "b", "first")
     by_paragraph = paragraphs.select("a", "b", "doc_id", "start", "stop").join(by_class, ["a", "b"]).select("doc_id", "start", "stop", "first")
     within = found.filter(F.col("kind") == _WITHIN).select("doc_id", "start", "stop", F.col("doc_id").alias("first"), F.lit(False).alias("kept"))
-    spans = by_entry.union(by_paragraph).withColumn("kept", F.col("doc_id") == F.col("first")).union(within)
+    spans = by_paragraph.withColumn("kept", F.col("doc_id") == F.col("first")).union(within).union(by_entry)
     in_order = Window.partitionBy("doc_id", "kept").orderBy("start", "stop", "first")
     reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
