@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block; a task's unit holds one block, or two.
-BLOCK = 512
+BLOCK = 2_048
+#: Rows of a matrix worked on at once.
+_STRIP = 512
 
 
 def in_units(rows: DataFrame, keys: list[str], node: Column, block: int = BLOCK) -> DataFrame:
@@ -27,13 +29,26 @@ def in_units(rows: DataFrame, keys: list[str], node: Column, block: int = BLOCK)
     return dealt.withColumn("unit_a", F.least("part", "__other")).withColumn("unit_b", F.greatest("part", "__other")).drop("__parts", "__other", *[f"__{k}" for k in keys])
 
 
-def spread_labels(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric boolean matrix, the smallest row number that each row reaches."""
+def strips(n: int) -> list[slice]:
+    """Slices that cover n rows, a strip each."""
+    return [slice(i, i + _STRIP) for i in range(0, n, _STRIP)]
+
+
+def spread_labels(linked: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+    """For a boolean matrix, the smallest row number that each row reaches.
+
+    columns: the row that each column stands for; without it the matrix is square and symmetric.
+    """
     n = len(linked)
-    labels = np.arange(n)
-    own = linked | np.eye(n, dtype=bool)
+    columns = np.arange(n) if columns is None else columns
+    labels = np.arange(n, dtype=np.int32)
     while True:
-        new = np.where(own, labels[None, :], n).min(axis=1)
+        new = labels.copy()
+        for strip in strips(n):
+            here = linked[strip]
+            if here.any():
+                new[strip] = np.minimum(new[strip], np.where(here, new[columns][None, :], n).min(axis=1))
+                new[columns] = np.minimum(new[columns], np.where(here, new[strip][:, None], n).min(axis=0))
         new = np.minimum(new, new[new])
         if (new == labels).all():
             return labels

@@ -4,7 +4,8 @@ Fingerprints are 64 bits over word shingles. To find all pairs within `distance`
 all pairs, the bits are cut into `segments` parts: two fingerprints at that distance agree in one part up to
 floor(distance / segments) bits. Every fingerprint is entered in one table per segment under its exact
 segment value; every fingerprint also asks each table for the small Hamming ball around its own value, and
-each match is verified on all 64 bits.
+each match is verified on all 64 bits. Links aren't handed on as pairs: what matches is contracted to spanning
+links where it stands, and keys with many entries are compared in blocks.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.components import connected_components
-from lyceum.llm.shared import cut
+from lyceum.llm.blocks import in_units, spread_labels, strips
+from lyceum.llm.components import connected_components, contracted
+from lyceum.llm.shared import cut, held
+
+#: Entries of a table key from which its members are compared in blocks; below it a join compares them.
+FULL_KEY = 64
+#: Fingerprints up to which three tables (2^21 keys, balls of radius 1) are used; beyond, two (2^32 keys, radius 2).
+MOST_IN_THREE = 1 << 26
 
 
 def simhash64(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -78,12 +85,31 @@ def _ask_ball(segment: int, ball: Column) -> Column:
     return F.transform(ball, lambda v: F.struct(_table_key(segment, v).alias("key"), F.lit(False).alias("same")))
 
 
-def close_pairs(nodes: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
-    """All pairs (a, b) of node ids whose fingerprints differ in at most `distance` bits.
-
-    nodes: (node, fp) with distinct fp. With segments = 3 each table has 2^21 keys and the ball has radius 1;
-    beyond about 10^8 fingerprints, segments = 2 (2^32 keys, radius 2) keeps the tables sparse. Either is exact.
+def _compare(unit: pa.Table, distance: int) -> pa.Table:
+    """Spanning links of a unit: those who ask a key against its entries."""
+    node, fp, same, part = (np.asarray(unit[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("node", "fp", "same", "part"))
+    order = np.argsort(node)
+    node, fp, same, part = node[order], fp[order].view(np.uint64), same[order].astype(bool), part[order]
+    entries = np.flatnonzero(same)
+    linked = np.empty((len(node), len(entries)), dtype=bool)
+    apart = unit["unit_a"][0].as_py() != unit["unit_b"][0].as_py()
+    for strip in strips(len(node)):
+        linked[strip] = np.bitwise_count(fp[strip, None] ^ fp[None, entries]) <= distance
+        if apart:
+            linked[strip] &= part[strip, None] != part[None, entries]
+    labels = spread_labels(linked, entries) if len(entries) else np.arange(len(node))
+    tied = np.flatnonzero(labels != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[tied], pa.int64()), "b": pa.array(node[labels[tied]], pa.int64())})
+
+
+def close_links(nodes: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
+    """Links (a, b) between node ids that tie together whoever differs in at most `distance` bits.
+
+    nodes: (node, fp) with distinct fp. The links have the components of all such pairs, and each is between
+    nodes of one component; they aren't all pairs. segments: number of tables; by default three up to
+    MOST_IN_THREE fingerprints and two beyond, so that keys hold few entries that don't match. Either is exact.
     """
+    segments = segments or (3 if nodes.count() <= MOST_IN_THREE else 2)
     if distance // segments > 2:
         raise ValueError("balls of a radius over 2 are too large; use more segments")
     bounds = [64 * s // segments for s in range(segments + 1)]
@@ -93,26 +119,30 @@ def close_pairs(nodes: DataFrame, distance: int = 4, segments: int = 3) -> DataF
         entries.append(_table_key(s, value))
         asks.append(F.array(F.struct(_table_key(s, value).alias("key"), F.lit(True).alias("same"))))
         asks.append(_ask_ball(s, _ball(value, high - low, distance // segments)))
-    whole = F.concat(*asks)
     index = nodes.select(F.explode(F.array(*entries)).alias("key"), F.col("node").alias("b"), F.col("fp").alias("fb"))
-    probe = nodes.select(F.explode(whole).alias("ask"), F.col("node").alias("a"), F.col("fp").alias("fa")).select("ask.key", "ask.same", "a", "fa")
+    probe = nodes.select(F.explode(F.concat(*asks)).alias("ask"), "node", "fp").select("ask.key", "ask.same", "node", "fp")
+    full = cut(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FULL_KEY).select("key"), "simhash-full-keys")
+    asking = probe.join(full, "key", "left_anti").select(F.col("key").alias("asked"), "same", F.col("node").alias("a"), F.col("fp").alias("fa"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
-    met = probe.join(index, (probe["key"] == index["key"]) & near & (~F.col("same") | (F.col("fa") < F.col("fb"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = asking.join(index, (F.col("asked") == F.col("key")) & near & (~F.col("same") | (F.col("fa") < F.col("fb"))))
+    units = in_units(probe.join(full, "key", "left_semi"), ["key"], F.col("node"))
+    dense = units.groupBy("key", "unit_a", "unit_b").applyInArrow(lambda unit: _compare(unit, distance), "a long, b long")
+    return contracted(met.select("a", "b")).union(dense)
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4, seed: int = 42, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4, seed: int = 42, segments: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
     Documents of one fingerprint become one node before any search, so a group of copies of any size costs
     one node. component_id is the smallest doc_id reachable by links of at most `distance` bits, the
     document's own included. Null and empty texts have fingerprint 0 and link like any other. Rows with a
     null doc_id are returned and can't stand for a group: one that has no other row has a null component_id.
-    Repeated rows are returned as often as they came. Other columns, whatever their names, are not read.
+    Repeated rows are returned as often as they came. Very long texts are read whole, in pieces. Other
+    columns, whatever their names, are not read.
     """
     fps = cut(fingerprints(docs, words_per_shingle, seed), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    groups = connected_components(close_pairs(nodes.filter("node is not null"), distance, segments))
+    groups = connected_components(close_links(nodes.filter("node is not null"), distance, segments))
     by_fp = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -120,8 +150,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int =
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without the near-duplicates: of each component the document with the smallest doc_id stays.
 
-    All columns of docs are kept. Rows that repeat one doc_id are one document and stay together; rows with
-    a null doc_id stay.
+    All columns of docs are kept, whatever their names. Rows that repeat one doc_id are one document and stay
+    together; rows with a null doc_id stay.
     """
-    drop = near_duplicates(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(cut(drop, "simhash-dropped"), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    gone = near_duplicates(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = held(docs)
+    return rows.join(cut(gone, "simhash-gone"), F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")
