@@ -4,14 +4,14 @@ Equal vectors are one node, which keeps its k + 1 smallest ids: a query takes no
 centroids and the codebooks of the residuals are fitted on a bounded sample; every node is indexed: its cell, a
 code of one byte per subspace, the length of what the code leaves out, and the vector itself for the reranking.
 A query looks into the cells nearest to it and ranks their nodes by asymmetric distance tables (inner products of
-the query with all codewords, added up by code). The true product is within the query's length times the length
-left out, so every node that may reach the last place gets its exact product: in the cells looked into nothing is
-lost. The number of cells is the smallest that reaches `recall` on held-out sample queries, and as many more as
-a query needs for k ids.
-
-The index is dealt out in shards of about SHARD rows: small cells share one, a large cell is spread over
-several. Queries go to the shards of their cells, many queries to a shard in blocks. A task holds one shard
-and one block and sends back `k` rows per query, so neither hot cells nor many queries gather in one task.
+the query with all codewords, added up by code). How far that is from the true product, in parts of the
+query's length times the length left out, is measured on the sample; every node that may reach the last place
+within that gets its exact product. The number of cells is the smallest that reaches `recall` on sample queries
+with codes and reranking, and as many more as a query needs for k ids.
+
+The index is dealt out in shards: small cells share one, a large cell is spread over several. A query goes to
+the shards of its cells with the cells it looks into there, many queries to a shard in blocks. A task holds one
+shard and one block and sends back `k` rows per query, so neither hot cells nor many queries gather in one task.
 """
 
 from __future__ import annotations
@@ -26,28 +26,32 @@ from pyspark.sql import functions as F
 
 from lyceum.llm.shared import cut, usable_vector
 
-#: The fit sees at most so many vectors, those with the smallest hash of their id.
-SAMPLE = 20_000
-CELLS = 256
+#: The fit sees about so many vectors at most, those whose hash of the id is below the share that this makes.
+SAMPLE = 40_000
+#: Cells: so many times the square root of the nodes, and at most one for each so many vectors of the sample.
+CELLS_BY_ROOT, LEAST_SAMPLE = 4, 32
 SUBSPACES, CODEWORDS = 16, 256
-SHARD, BLOCK = 8_192, 4_096
+#: Rows of a shard: at least LEAST_SHARD, and more where that would make over MOST_SHARDS shards; queries of a block.
+LEAST_SHARD, MOST_SHARDS, BLOCK = 2_048, 10_000, 4_096
+#: Share of products whose error by codes is larger than the one reckoned with.
+MISSED = 1e-5
 _TRIALS = 400
 
 
-def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
+    x = x.astype(np.float32)
     centroids = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = _nearest(x, centroids)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, near, x)
-        n = np.bincount(near, minlength=k)
-        centroids[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centroids
+        order = np.argsort(near, kind="stable")
+        present, starts, n = np.unique(near[order], return_index=True, return_counts=True)
+        centroids[present] = np.add.reduceat(x[order], starts, axis=0) / n[:, None]
+    return centroids.astype(np.float64)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     half = (centroids**2).sum(1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ centroids.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+    return np.concatenate([np.argmax(x[i : i + 2048] @ centroids.T - half, axis=1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, int)
 
 
 @dataclass
@@ -55,6 +59,7 @@ class Index:
     centroids: np.ndarray
     books: list[np.ndarray]
     probes: int
+    error: float  # error of a product by codes that all but MISSED stay below, in parts of both lengths
 
     @property
     def dim(self) -> int:
@@ -64,10 +69,9 @@ class Index:
         bounds = [self.dim * i // len(self.books) for i in range(len(self.books) + 1)]
         return [slice(a, b) for a, b in zip(bounds, bounds[1:])]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cells = _nearest(x, self.centroids)
+    def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         rest = x - self.centroids[cells]
-        return cells, np.stack([_nearest(rest[:, p], book) for p, book in zip(self.parts(), self.books)], axis=1).astype(np.uint8)
+        return np.stack([_nearest(rest[:, p], book) for p, book in zip(self.parts(), self.books)], axis=1).astype(np.uint8)
 
     def left_out(self, x: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Lengths of what the codes leave out."""
@@ -84,23 +88,34 @@ class Index:
         return [cells[:n].astype(np.int32) for cells, n in zip(order, np.maximum(enough, self.probes))]
 
 
-def fit(sample: np.ndarray, k: int = 20, recall: float = 0.96, seed: int = 7) -> Index:
-    """Centroids and codebooks of a sample, and the number of cells to look into, measured on it."""
+def fit(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.95, seed: int = 7) -> Index:
+    """Centroids and codebooks from a sample of a table of `rows`; on the sample also the error of the codes and the cells to look into."""
     rng = np.random.default_rng(seed)
-    cells = max(1, min(CELLS, len(sample) // 40))
-    index = Index(_k_means(sample, cells, rng), [], cells)
-    subspaces = min(SUBSPACES, sample.shape[1])
-    index.books = [np.zeros((1, 1))] * subspaces
-    rest = sample - index.centroids[(near := _nearest(sample, index.centroids))]
-    index.books = [_k_means(np.ascontiguousarray(rest[:, p]), min(CODEWORDS, len(sample)), rng) for p in index.parts()]
+    cells = max(1, min(int(CELLS_BY_ROOT * np.sqrt(rows)), len(sample) // LEAST_SAMPLE))
+    index = Index(_k_means(sample, cells, rng), [], cells, 1.0)
+    near = _nearest(sample, index.centroids)
+    some = rng.choice(len(sample), min(len(sample), 16_384), replace=False)
+    rest = sample[some] - index.centroids[near[some]]
+    index.books = [np.zeros((1, 1))] * min(SUBSPACES, sample.shape[1])
+    index.books = [_k_means(np.ascontiguousarray(rest[:, p]), min(CODEWORDS, len(rest)), rng) for p in index.parts()]
     trial = rng.choice(len(sample), min(_TRIALS, len(sample)), replace=False)
-    exact = sample[trial] @ sample.T
+    queries = sample[trial]
+    lengths = np.sqrt((queries**2).sum(1))
+    codes = index.codes(sample, near)
+    off = index.left_out(sample, near, codes)
+    exact = queries @ sample.T
+    tables = index.tables(queries)
+    around = queries @ index.centroids.T
+    around = around[:, near] + sum(t[:, codes[:, m]] for m, t in enumerate(tables))
+    scale = lengths[:, None] * np.maximum(off, 1e-12)[None, :]
+    index.error = float(min(1.0, np.quantile(np.abs(exact - around) / np.maximum(scale, 1e-9 * np.abs(exact).max()), 1 - MISSED)))
     exact[np.arange(len(trial)), trial] = -np.inf
     best = np.argsort(-exact, axis=1)[:, : min(k, len(sample) - 1)]
-    order = np.argsort(np.argsort(-(sample[trial] @ index.centroids.T), axis=1), axis=1)
+    order = np.argsort(np.argsort(-(queries @ index.centroids.T), axis=1), axis=1)
     needed = np.take_along_axis(order, near[best], axis=1)  # the rank of the cell that holds each neighbour
-    reached = [(needed < p).mean() if needed.size else 1.0 for p in range(1, cells + 1)]
-    index.probes = next((p for p, r in enumerate(reached, 1) if r >= recall), cells)
+    reached = np.cumsum(np.bincount(needed.ravel(), minlength=cells)) / max(1, needed.size)
+    index.probes = int(np.searchsorted(reached, recall)) + 1 if needed.size else cells
+    index.probes = min(index.probes, cells)
     return index
 
 
@@ -108,61 +123,86 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96) -> DataFrame:
+_OUT = "query_id long, rank int, vec_id long, score double"
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best vectors found for each query, by exact inner product in
     double precision, ties to the smaller vec_id; a query's own id is no candidate.
 
-    vectors and queries: (vec_id, embedding). Vectors that are null, of another length than the table's
-    most frequent one, zero, or hold null or non-finite components take no part; nor do null ids. Of rows
-    that repeat an id, the one with the smallest vector counts. Without vectors the result is empty.
+    vectors and queries: (vec_id, embedding). Vectors that are null, zero, or hold null or non-finite
+    components take no part; nor do null ids. A query's candidates are the vectors of its length: each
+    length has an index of its own (lengths are few, one for each model that made vectors). Of rows that
+    repeat an id, the one with the smallest vector counts. Without vectors the result is empty.
     """
     spark = vectors.sparkSession
     one = lambda df: df.filter(F.col("vec_id").isNotNull() & usable_vector(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("v"))
-    base = cut(one(vectors), "ann-vectors")
-    out = "query_id long, rank int, vec_id long, score double"
-    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], out)
-    dim = lengths[0]["dim"]
-    of_dim = F.size("v") == dim
+    base, asked = cut(one(vectors), "ann-vectors"), cut(one(queries), "ann-asked")
+    found = [_search(base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim), dim, k, recall) for dim in sorted(r["dim"] for r in base.select(F.size("v").alias("dim")).distinct().collect())]
+    hits = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for one_length in found:
+        hits = hits.union(one_length)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(base: DataFrame, asked: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each shard for the queries that look into it; base and asked (vec_id, v) of one length."""
+    spark = base.sparkSession
     # Equal vectors are one node; the window drops what is beyond the k + 1 smallest ids before the shuffle.
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    ids = base.filter(of_dim).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
+    ids = base.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
     nodes = cut(ids.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v"), "ann-nodes")
-    rows = nodes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).collect()  # the bounded sample
-    index = fit(np.array([r["v"] for r in rows]), k, recall)
+    rows = nodes.count()
+    # The sample: each partition sends its share of SAMPLE rows, however many partitions there are.
+    chosen = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / rows))
+    sample = nodes.filter(chosen).select(F.col("ids")[0].alias("id"), "v").toArrow()
+    if not sample.num_rows:
+        sample = nodes.limit(1).select(F.col("ids")[0].alias("id"), "v").toArrow()
+    sample = sample.take(np.argsort(np.asarray(sample["id"])))
+    index = fit(_matrix(sample["v"].combine_chunks(), dim), rows, k, recall)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            cells, codes = index.encode(x)
+            cells = _nearest(x, index.centroids)
+            codes = index.codes(x, cells)
             coded = [pa.array(cells, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.left_out(x, cells, codes), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *coded], ["ids", "v", "cell", "code", "off"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = index.cells_of(_matrix(batch.column(1), dim), held, k + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "cells"])
-
     entered = cut(nodes.mapInArrow(enter, "ids array<long>, v array<double>, cell int, code binary, off double"), "ann-index")
-    # Shards: from the sizes of the cells, a table bounded by their number.
-    counted = entered.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
-    sizes = {r["cell"]: r["n"] for r in counted}
+    # Shards, from the sizes of the cells: a row for each cell.
+    counted = {r["cell"]: (r["n"], r["ids"]) for r in entered.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}
+    shard_rows = max(LEAST_SHARD, rows // MOST_SHARDS)
     held = np.zeros(len(index.centroids), dtype=np.int64)
-    for r in counted:
-        held[r["cell"]] = r["ids"]
-    shards, filled, at = {}, 0, 0
-    for cell in sorted(sizes):
-        if filled and filled + sizes[cell] > SHARD:
+    layout, filled, at = {}, 0, 0
+    for cell in sorted(counted):
+        n, held[cell] = counted[cell]
+        if filled and filled + n > shard_rows:
             at, filled = at + 1, 0
-        spread = -(-sizes[cell] // SHARD)
-        shards[cell] = [at + i for i in range(spread)]
-        at, filled = (at, filled + sizes[cell]) if spread == 1 else (at + spread, 0)
-    of_cell = F.create_map(*[x for c, s in shards.items() for x in (F.lit(c), F.array(*map(F.lit, s)))])
-    entered = entered.withColumn("s", of_cell[F.col("cell")]).withColumn("shard", F.col("s")[F.pmod(F.xxhash64(F.col("ids")[0]), F.size("s")).cast("int")]).drop("s")
-    asked = one(queries).filter(of_dim).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(ask, "query_id long, q array<double>, cells array<int>")
-    asked = asked.withColumn("shards", F.array_distinct(F.flatten(F.transform("cells", lambda c: F.coalesce(of_cell[c], F.array().cast("array<int>"))))))
-    asked = cut(asked.select("query_id", "q", "cells", F.explode("shards").alias("shard")), "ann-queries")
+        spread = -(-n // shard_rows)
+        layout[cell] = (at, spread)
+        at, filled = (at, filled + n) if spread == 1 else (at + spread, 0)
+    places = F.broadcast(spark.createDataFrame([(c, *s) for c, s in layout.items()], "cell int, low int, spread int"))  # a row for each cell
+    entered = entered.join(places, "cell").withColumn("shard", F.col("low") + F.pmod(F.xxhash64(F.col("ids")[0]), F.col("spread")).cast("int")).drop("low", "spread")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, shards, looked = [], [], []
+            for i, cells in enumerate(index.cells_of(_matrix(batch.column(1), dim), held, k + 1)):
+                by_shard: dict[int, list[int]] = {}
+                for cell in cells.tolist():
+                    low, spread = layout.get(cell, (0, 0))
+                    for shard in range(low, low + spread):
+                        by_shard.setdefault(shard, []).append(cell)
+                row += [i] * len(by_shard)
+                shards += by_shard
+                looked += by_shard.values()
+            some = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shards, pa.int32()), pa.array(looked, pa.list_(pa.int32()))], ["query_id", "q", "shard", "cells"])
+
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(ask, "query_id long, q array<double>, shard int, cells array<int>")
+    asked = cut(asked, "ann-queries")
     blocks = cut(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-blocks")
     entered = entered.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
@@ -171,9 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         found = _look(index, entries, questions, k) if entries.num_rows and questions.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    hits = entered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(look, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return entered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(look, "query_id long, vec_id long, score double")
 
 
 def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +228,9 @@ def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple
     slack = 1e-9 * lengths * np.sqrt((vectors**2).sum(1)).max()  # more than the sums can be rounded by
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     members = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-    for start in range(0, len(query_ids), 256):
-        part = slice(start, start + 256)
+    step = max(1, min(256, 2_000_000 // len(cells)))  # bounded memory, whatever the shard
+    for start in range(0, len(query_ids), step):
+        part = slice(start, start + step)
         tables = index.tables(queries[part])
         products = np.full((len(queries[part]), len(cells)), -np.inf)
         for cell, rows in members.items():
@@ -199,7 +238,7 @@ def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple
             if len(asking):
                 products[np.ix_(asking, rows)] = (queries[part][asking] @ index.centroids[cell])[:, None] + sum(t[asking][:, codes[rows, m]] for m, t in enumerate(tables))
         for i, around in enumerate(products, start):
-            rows = _within_reach(around, lengths[i] * off + slack[i], k)
+            rows = _within_reach(around, index.error * lengths[i] * off + slack[i], k)
             scores = vectors[rows] @ queries[i]
             best = _within_reach(scores, slack[i], k)  # besides the best, what rounding may tie with them
             rows, scores = rows[best], scores[best]
