@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyceum.llm.shared import WORD, cut
+from lyceum.llm.shared import WORD, cut, held
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -91,31 +91,38 @@ def _position(turn: Column) -> Column:
     return F.least(F.lit(1.0), position_of(share, F.col("tilt")))
 
 
+def _turns() -> Column:
+    """How often a document trains, in part or whole."""
+    return F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, position for each row of docs.
+    """doc_id, size, source, source_size, target, taken, position, second_position for each row of docs, range-sorted by position.
 
     taken counts the words that the mix takes of the document, repeats included: each whole pass over its
     source takes it whole, the last pass takes the documents at the head of the queue, the last of them in
     part. So a source's taken words are its target, to the word, and no document exceeds twice its size.
-    position is when the document first trains (null if never). The queue is ordered by MD5 of the doc_id,
-    then doc_id, size and a hash of the text, so reruns agree. Null ids queue under the empty string; null
-    texts have size 0 and are never taken; null is a source of its own; an empty table gives an empty result;
-    only doc_id, text and source are read.
+    position is when the document first trains, second_position when it trains again (null if it doesn't).
+    The queue is ordered by MD5 of the doc_id, then doc_id, size and a hash of the text, so reruns agree. Null
+    ids queue under the empty string; rows that repeat an id queue one by one; null and empty texts have size
+    0 and are never taken; null is a source of its own; an empty table gives an empty result; only doc_id,
+    text and source are read, other columns may have any name.
     """
-    position = F.when(F.col("taken") > 0, _position(F.lit(0)))
-    return _queued(docs).select("doc_id", "size", "source", "source_size", "target", "taken", position.alias("position"))
+    found = _queued(docs).withColumn("position", F.when(_turns() > 0, _position(F.lit(0)))).withColumn("second_position", F.when(_turns() > 1, _position(F.lit(1))))
+    found = found.select("doc_id", "size", "source", "source_size", "target", "taken", "position", "second_position")
+    return found.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def in_training_order(docs: DataFrame) -> DataFrame:
     """docs as the mix trains on them, range-sorted by position: documents it never takes are gone, and those
-    of which it takes more than their size stand twice. All columns of docs stay, and no others are added.
+    of which it takes more than their size stand twice. All columns of docs stay, whatever their names, and no
+    others are added.
 
     A document that the last pass takes in part is kept whole. Rows that share a doc_id are one document and
-    are treated alike.
+    are treated alike; so are rows with a null doc_id.
     """
     one = _queued(docs).filter("taken > 0").groupBy("doc_id").agg(F.min(F.struct("at", "size", "taken", "source_size", "target", "tilt")).alias("m")).select("doc_id", "m.*")
-    turns = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
-    plan = one.select(F.col("doc_id").alias("__id"), F.explode(turns).alias("__turn"), "at", "source_size", "target", "tilt")
-    plan = plan.select("__id", "__turn", _position(F.col("__turn")).alias("__position"))
-    rows = docs.join(cut(plan, "mix-plan"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return rows.orderBy("__position", "__id", "__turn").select(*docs.columns)
+    plan = one.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), _turns() - 1)).alias("turn"), "at", "source_size", "target", "tilt")
+    plan = cut(plan.select("id", "turn", _position(F.col("turn")).alias("position")), "mix-plan")
+    rows = held(docs).join(plan, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
+    return rows.orderBy("position", "id", "turn").select("row.*")

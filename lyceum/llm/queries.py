@@ -27,12 +27,12 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round("second_position", 6).alias("second_position"))
 
 
 def op5_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.severities(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic")))
+    return toxicity.severities(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.graded(F.col("toxic"), F.col("quality"))))
 
 
 def op6_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +106,12 @@ taken AS (
   SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(round(target) / source_size) ELSE 0 END AS BIGINT) AS passes FROM queued),
 final AS (
   SELECT *, CAST(passes * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - passes * source_size - place)) AS BIGINT) AS taken,
-         place / greatest(target, 1.0::DOUBLE) AS share FROM taken)
+         place / greatest(target, 1.0::DOUBLE) AS share, (place + source_size) / greatest(target, 1.0::DOUBLE) AS again FROM taken)
 SELECT doc_id, size, source_size, target, taken,
        CASE WHEN taken > 0 THEN round(least(1.0::DOUBLE, CASE WHEN tilt = 0 THEN share
-         ELSE 2 * share / ((1 - tilt) + sqrt(greatest(0.0::DOUBLE, (1 - tilt) * (1 - tilt) + 4 * tilt * share))) END), 6) END AS position
+         ELSE 2 * share / ((1 - tilt) + sqrt(greatest(0.0::DOUBLE, (1 - tilt) * (1 - tilt) + 4 * tilt * share))) END), 6) END AS position,
+       CASE WHEN taken > size THEN round(least(1.0::DOUBLE, CASE WHEN tilt = 0 THEN again
+         ELSE 2 * again / ((1 - tilt) + sqrt(greatest(0.0::DOUBLE, (1 - tilt) * (1 - tilt) + 4 * tilt * again))) END), 6) END AS second_position
 FROM final
 """,
     "op7_projection_forest": """
