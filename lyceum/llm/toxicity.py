@@ -14,14 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyceum.llm.shared import cut
 
-#: The fit sees at most so many labelled rows of grade 0, and so many of higher grades. It is the only part
+#: The fit sees about so many labelled rows of grade 0 at most, and so many of higher grades. It is the only part
 #: that samples; rows are chosen by a hash of their id. Everything else covers all documents.
 MOST_CLEAN, MOST_TOXIC = 9_000, 5_000
 #: Features whose document frequencies differ most between toxic and clean rows.
@@ -129,11 +128,16 @@ def fit(texts: list[str | None], grades: list[int], row_weights: list[float], st
     return Severity({f: float(v) for f, v in zip(chosen, param) if abs(v) > 1e-6}, thresholds(param).tolist())
 
 
+def graded(toxic: Column, quality: Column) -> Column:
+    """Three grades from the labels: 0 for what isn't toxic, 1 for toxic text, 2 for toxic text of bad quality as well."""
+    return F.when(toxic > 0, F.when(quality == 0, 2).otherwise(1)).otherwise(toxic.cast("int"))
+
+
 def train(docs: DataFrame, labels: DataFrame, grade: Column) -> Severity:
     """Fit on a bounded sample of labelled documents.
 
-    labels: doc_id and what `grade` needs. The chosen labels (at most MOST_CLEAN + MOST_TOXIC ids) are
-    broadcast to the documents, and one task fits the model on the rows found. Labels with a null id or
+    labels: doc_id and what `grade` needs. The chosen labels (about MOST_CLEAN + MOST_TOXIC ids at most, by a
+    hash of the id) are broadcast to the documents, and one task fits the model on the rows found. Labels with a null id or
     grade are passed over; a doc_id with several labels has the highest; without labels, or without both
     toxic and clean ones, the model gives every text severity 0.
     """
@@ -142,27 +146,37 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column) -> Severity:
     parts = []
     for toxic, most in ((False, MOST_CLEAN), (True, MOST_TOXIC)):
         if n.get(toxic):
-            part = all_.filter((F.col("__grade") > 0) == F.lit(toxic)).orderBy(F.xxhash64("__id"), "__id").limit(most)
-            parts.append(part.withColumn("__weight", F.lit(n[toxic] / min(most, n[toxic]))))
+            share = min(1.0, most / n[toxic])
+            part = all_.filter((F.col("__grade") > 0) == F.lit(toxic)).filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+            parts.append(part.withColumn("__weight", F.lit(1 / share)))
     if len(parts) < 2:
         return Severity()
     sample = F.broadcast(parts[0].union(parts[1]))
     rows = docs.select(F.col("doc_id").alias("__doc"), "text").join(sample, F.col("__doc") == F.col("__id")).select("__doc", "text", "__grade", "__weight")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = [b for b in batches if len(b)]
-        if whole:
-            data = pd.concat(whole).fillna({"text": ""}).sort_values(["__doc", "text", "__grade"]).drop_duplicates("__doc")
-            model = fit(data["text"].tolist(), data["__grade"].tolist(), data["__weight"].tolist())
-            yield pd.DataFrame({"feature": [*model.weights, *[None] * len(model.thresholds)], "value": [*model.weights.values(), *model.thresholds]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: dict[int, tuple[str, int, float]] = {}  # of rows that repeat a doc_id the smallest text
+        for batch in batches:
+            for doc, text, given, weight in zip(*[c.to_pylist() for c in batch.columns]):
+                row = (text or "", given, weight)
+                one[doc] = min(one.get(doc, row), row)
+        chosen = [one[doc] for doc in sorted(one)]
+        model = fit([r[0] for r in chosen], [r[1] for r in chosen], [r[2] for r in chosen])
+        names, values = [*model.weights, *[None] * len(model.thresholds)], [*model.weights.values(), *model.thresholds]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["feature", "value"])
 
     sample_rows = cut(rows, "toxicity-sample")  # found by all tasks; only the bounded sample goes to one
-    found = sample_rows.coalesce(1).mapInPandas(run, "feature string, value double").collect()  # at most MOST_FEATURES rows and the thresholds
+    found = sample_rows.coalesce(1).mapInArrow(run, "feature string, value double").collect()  # at most MOST_FEATURES rows and the thresholds
     return Severity({r["feature"]: r["value"] for r in found if r["feature"] is not None}, sorted(r["value"] for r in found if r["feature"] is None))
 
 
 def severities(docs: DataFrame, model: Severity, reject_at: float = 0.35) -> DataFrame:
-    """(doc_id, severity, p_toxic, rejected) for each row of docs; null and empty texts have no features."""
+    """(doc_id, severity, p_toxic, rejected) for each row of docs; null and empty texts have no features.
+
+    severity is the expected grade, p_toxic the chance of a grade above 0. Rows that repeat a doc_id, or have
+    none, are judged one by one; very long texts are read whole; an empty table gives an empty result; only
+    doc_id and text are read.
+    """
     weights, thresholds = model.weights, model.thresholds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +201,7 @@ def without_toxic(docs: DataFrame, model: Severity, reject_at: float = 0.35) ->
         own = Severity(weights, thresholds)
         for batch in batches:
             stay = [own.above(own.score(t.as_py()))[0] < reject_at for t in batch.column(at)]
-            yield batch.filter(pa.array(stay, pa.bool_()))
+            mask = pa.array(stay, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema) if thresholds else docs
