@@ -6,6 +6,7 @@ in; the last returns a row per text to train on. A stage works on all that the o
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +15,55 @@ from lyceum.llm.shared import cut, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted severity is that of toxic ones go; the model is fitted on the labels table."""
-    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.col("toxic")))
+    """Documents whose predicted severity is that of toxic ones go; the model is fitted on the labels table.
+
+    Null and empty texts have no features and stay; rows that repeat a doc_id are judged one by one; without
+    labels all stay. All columns come back, whatever their names; an empty table stays empty.
+    """
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.graded(F.col("toxic"), F.col("quality"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Texts without words are near copies of each other. Rows that repeat a doc_id are one document and stay or
+    go together; rows with a null doc_id stay. All columns come back; an empty table stays empty.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes the name of its kind; n_chars follows the text."""
+    """Personal data in the texts becomes the name of its kind; n_chars follows the text.
+
+    Null texts stay null, with n_chars null; texts without spans stay as they are. Every row comes back, with
+    all columns.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to their targets, in training order."""
+    """Sources are repeated or thinned to their targets; rows come back in training order.
+
+    The order of the rows in the files that are written is the order of training. Texts without words are
+    never taken; a null source is a source of its own; rows that repeat a doc_id are one document. All columns
+    come back.
+    """
     return mixing.in_training_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text as token ids, with the digest of the ids and of what they decode to."""
-    return bpe_codec.round_trip(docs)
+    """doc_id, position, n_tokens, ids, and the digests of the ids and of what they decode to, for each row.
+
+    position rises in the order of the rows in the files that docs was read from (part file, then row), which
+    is the training order; it is null if docs wasn't read from files. A null text has no ids; an empty table
+    gives an empty result; columns other than doc_id and text are not read.
+    """
+    try:
+        place = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
+    except AnalysisException:
+        place = docs.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row"), "doc_id", "text")
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    return bpe_codec.round_trip(place.select("doc_id", "text", (F.coalesce(part, F.lit(0)) * (1 << 40) + F.col("row")).alias("position")), carry=["position"], with_ids=True)
 
 
 STAGES = [
