@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lyceum.llm import vocabulary
 from lyceum.llm.shared import together
@@ -114,7 +115,8 @@ class ChunkCoder:
 
 
 def with_copies_together(docs: DataFrame) -> DataFrame:
-    """doc_id and text of docs, dealt out so that documents that share chunks tend to meet in one task."""
+    """docs (columns doc_id and text first), dealt out so that documents that share chunks tend to meet in one task."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -125,16 +127,21 @@ def with_copies_together(docs: DataFrame) -> DataFrame:
                 for end in chunk_ends(data):
                     low, at = min(low, digest(data[at:end])), end
                 least.append(low >> 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["doc_id", "text", "least_chunk"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*names, "least chunk"])
 
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, least_chunk long")
-    return together(marked, "least_chunk").select("doc_id", "text")
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("least chunk", LongType())]))
+    return together(marked, "`least chunk`").select(*[F.col(f"`{n}`") for n in names])
+
+
+def _named(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) for each row of docs, ids as little-endian unsigned 32-bit integers; a null text is empty.
 
-    Null and repeated doc_ids come back as they are; other columns are not read.
+    Null and repeated doc_ids come back as they are; other columns are not read. An empty table gives an empty
+    result; very long texts are encoded whole.
     """
     path = path or vocabulary.default_path()
 
@@ -145,7 +152,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 batch = whole.slice(start, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(t.as_py() or "") for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
 
-    return with_copies_together(docs).mapInArrow(run, "doc_id long, ids binary")
+    return with_copies_together(_named(docs)).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -160,19 +167,33 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again, in one pass."""
+def round_trip(docs: DataFrame, path: str | None = None, carry: Sequence[str] = (), with_ids: bool = False) -> DataFrame:
+    """(doc_id, columns of carry, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again, in one pass.
+
+    with_ids adds ids, an array of integers. A null text is empty; null and repeated doc_ids come back as they
+    are; an empty table gives an empty result; very long texts are encoded whole; columns that carry doesn't
+    name are not read.
+    """
     path = path or vocabulary.default_path()
+    rows = _named(docs, carry)
+    kept = [rows.schema["doc_id"], *[rows.schema[c] for c in carry]]
+    made = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    made += [StructField("ids", ArrayType(IntegerType()))] if with_ids else []
+    schema = StructType([*kept, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkCoder(path)
-        for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for value in batch.column(1):
-                ids = coder.encode(value.as_py() or "")
-                counts.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return with_copies_together(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                coded = [coder.encode(value.as_py() or "") for value in batch.column(1)]
+                counts = np.array([len(ids) // 4 for ids in coded], dtype=np.int64)
+                of_ids = [hashlib.sha256(ids).hexdigest() for ids in coded]
+                of_text = [hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest() for ids in coded]
+                columns = [batch.column(0), *batch.columns[2:], pa.array(counts), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                if with_ids:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return with_copies_together(rows).mapInArrow(run, schema)

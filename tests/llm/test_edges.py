@@ -119,6 +119,47 @@ def test_pii(docs):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_added_spans(spark):
+    """What is added is a loose proposal that no base span covers, overlaps no other, and reaches the bar; a plain version decides alike."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        number = "".join(map(str, rng.integers(0, 10, 12)))
+        rows.append((i, f"call me at +{number[:11]} or write to u{i}@x{i % 7}.org today" if i % 2 else f"call me at {number[:4]} {number[4:8]} {number[8:]} today, order {number}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = pii.with_spans(df).select("row.doc_id", pii.F.col("row.doc_id").alias("doc"), "text", "base", "proposed").collect()
+    forest = pii.train(spark.createDataFrame([(r["doc_id"], r["proposed"]) for r in spans], pii.with_spans(df).select(pii.F.col("row.doc_id").alias("doc"), "proposed").schema))
+    forest.thresholds = [-100.0] * 4  # so that scores decide among what overlaps
+    added = 0
+    chosen = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["s"]] for r in pii.with_spans(df).select("row.doc_id", pii.select_spans(forest).alias("s")).collect()}
+    for r in spans:
+        base = [(s["start"], s["kind"], s["end"]) for s in r["base"]]
+        kept = []
+        for p in sorted(r["proposed"], key=lambda p: (p["start"], p["kind"], p["end"])):
+            score = forest.score(p.asDict())
+            if any(b[0] < p["end"] and p["start"] < b[2] for b in base) or score < forest.thresholds[p["kind"]]:
+                continue
+            if not kept or p["start"] >= kept[-1][2]:
+                kept.append((p["start"], p["kind"], p["end"], score))
+            elif score > kept[-1][3]:
+                kept[-1] = (p["start"], p["kind"], p["end"], score)
+        reach, final = 0, []
+        for s in kept:
+            if s[0] >= reach:
+                final.append(s[:3])
+            reach = max(reach, s[2])
+        added += len(final)
+        assert chosen[r["doc_id"]] == sorted(base + final)
+    assert added > 100
+
+
+def test_pii_many_spans(spark):
+    """The work on a text grows with its spans, not with their square."""
+    text = " ".join(f"a{k}@b{k}.com 10.0.{k % 300}.{k % 256} x" for k in range(5_000))
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found["base_spans"] == brute.base_spans(text) and found["n_email"] == 5_000
+
+
 def test_pii_patterns(spark):
     """Base spans on awkward texts."""
     texts = ["a@b.c@d.e", "a@b.c,x@y.zz..", "1.2.3.4.5.6", "999.1.1.1 1.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112 378282246310005", "+1 (23) 456.78-90", "+12 345678901234567", "++49 30 123456789", "é@b.c é+49301234567", "1 2 3 4 5 6 7 8 9 0 1 2", "\U0001f600 a@b.de \U0001f600 10.0.0.1", "x.@-.-", "+5 (", "0" * 19]
@@ -151,10 +192,10 @@ def vectors(spark, rows):
 
 def test_vectors(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (11, [], 1), (12, [math.inf, 1.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (13, [2.0, 0.1, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (11, [], 1), (12, [math.inf, 1.0], 1)]
     df = vectors(spark, [(*r, None, None, None, None) for r in rows])
     found = sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in forest.near_duplicates(df).collect())
-    expected = {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)}
+    expected = {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 10: (1, 10, True), 13: (1, 10, False)}  # vectors of another length link with each other
     assert len(found) == len(rows)
     for null, i, n, c, kept in found:
         assert (n, c, kept) == ((0, None, True) if null else expected.get(i, (0, i, True)))

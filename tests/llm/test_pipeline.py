@@ -26,7 +26,7 @@ def redacted(text, spans):
 
 
 def mixed(docs):
-    """doc_id to the number of times that it trains."""
+    """doc_id to the number of times that it trains, and (time, doc_id, turn) in training order."""
     sizes = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")) for d in docs}
     of = defaultdict(list)
     for d in docs:
@@ -42,8 +42,9 @@ def mixed(docs):
             target[s] = 2.0 * total[s] if full else level * weight[s]
         rest -= sum(target[s] for s in full)
         open_ = open_ - full if full else set()
-    turns = {}
+    turns, times = {}, []
     for s, ids in of.items():
+        tilt, at = (-0.5, 0.0, 0.5)[order.index(s) % 3], 0
         goal = math.floor(target[s] + 0.5)
         passes = goal // total[s] if total[s] else 0
         left = goal - passes * total[s]
@@ -51,7 +52,12 @@ def mixed(docs):
             taken = passes * sizes[i] + max(0, min(sizes[i], left))
             left -= sizes[i]
             turns[i] = math.ceil(taken / sizes[i]) if taken else 0
-    return turns
+            for turn in range(turns[i]):
+                share = (at + turn * total[s]) / max(target[s], 1.0)
+                time = share if not tilt else 2 * share / ((1 - tilt) + math.sqrt(max(0.0, (1 - tilt) ** 2 + 4 * tilt * share)))
+                times.append((min(1.0, time), i, turn))
+            at += sizes[i]
+    return turns, sorted(times)
 
 
 def test_pipeline(spark):
@@ -60,7 +66,7 @@ def test_pipeline(spark):
 
     docs = pq.read_table(f"{DATA}/documents.parquet").to_pylist()
     frame, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    model = toxicity.train(frame, labels, labels["toxic"])
+    model = toxicity.train(frame, labels, toxicity.graded(labels["toxic"], labels["quality"]))
     docs = [d for d in docs if not model.thresholds or model.above(model.score(d["text"]))[0] < 0.35]
     fps = {d["doc_id"]: brute.simhash(d["text"]) for d in docs}
     groups = brute.components(list(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
@@ -71,16 +77,41 @@ def test_pipeline(spark):
         d["text"] = redacted(d["text"], spans[d["doc_id"]])
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = Counter()
-    turns = mixed(docs)
+    turns, order = mixed(docs)
+    coded = {}
     for d in docs:
-        ids = coder.encode(d["text"], add_special_tokens=False).ids
+        ids = coded[d["doc_id"]] = coder.encode(d["text"], add_special_tokens=False).ids
         if turns[d["doc_id"]]:
             expected[d["doc_id"], len(ids), brute.sha(np.array(ids, dtype="<u4").tobytes()), brute.sha(coder.decode(ids, skip_special_tokens=False))] += turns[d["doc_id"]]
-    found = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect())
-    assert found == expected
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == expected
+    rows.sort(key=lambda r: r["position"])
+    assert [r["doc_id"] for r in rows] == [i for _, i, _ in order]
+    assert all(r["ids"] == coded[r["doc_id"]] for r in rows)
 
 
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns, name
+
+
+def test_stages_on_awkward_documents(spark, tmp_path):
+    """Nulls, empties, repeats, clashing columns and empty tables, through every stage in turn."""
+    clash = ["row", "id", "base", "proposed", "__base", "__text", "__id", "__doc", "__dropped", "gone", "position", "turn", "part", "at", "least chunk"]
+    texts = [None, "", "mail a@b.de now and then for us all to see", "mail a@b.de now and then for us all to see", "x " * 3000, "one"]
+    rows = [(i, t, None, "s" if i % 2 else None, None, *["kept"] * len(clash)) for i, t in enumerate(texts)] + [(None, "none at all", "en", "s", 1, *["kept"] * len(clash))]
+    rows += rows[2:3]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    for k, data in enumerate((rows, [])):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, DATA)
+            docs.write.parquet(path := str(tmp_path / f"{k}-{name}"))
+            docs = spark.read.parquet(path)
+            assert docs.columns == [f.name for f in spark.createDataFrame([], schema).schema], name
+            assert not data or all(r["__base"] == "kept" for r in docs.collect()), name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+        assert len(out) == (docs.count() if data else 0)
+        assert all((r["ids"] == []) == (r["n_tokens"] == 0) for r in out)
+    assert {r["text"] for r in docs.sparkSession.read.parquet(str(tmp_path / "0-pii_redaction")).collect() if r["doc_id"] == 2} == {"mail [EMAIL] now and then for us all to see"}
