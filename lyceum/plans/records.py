@@ -66,9 +66,9 @@ def c15_plan_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c18_scoped_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Extension: cosine neighbours within a label, for one vector in fifty."""
+    """Extension: cosine neighbours within a label, for each vector whose id is divisible by 20."""
     e = t.load(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
     found = ops.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v")))
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -233,7 +233,7 @@ SELECT o_orderpriority, coalesce(status, 'none') AS status, count(*) AS orders F
     "c18_scoped_nearest": (c18_scoped_nearest, """
 SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS place
-FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY place <= 5"""),
+FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY place <= 5"""),
     "d3_completion_stamps": (d3_completion_stamps, """
 WITH r AS (SELECT user_id % 40 AS student_id, event_id % 2 AS course, event_id // 2 % 3 AS lesson, event_type <> 'purchase' AS done, event_id AS seq FROM events),
 x AS (SELECT *, CAST(done AS INTEGER) - CAST(coalesce(lag(done) OVER (PARTITION BY student_id, course, lesson ORDER BY seq), false) AS INTEGER) AS delta FROM r),

@@ -96,12 +96,17 @@ def h38_page_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h40_quiz_grading(spark: SparkSession, d: str) -> DataFrame:
-    """Answers (users' turns) against the keys (the replies), trimmed and in lower case; the score in percent, halves up."""
+    """Answers against keys, equal after trim and lower case; the score in percent, halves up.
+
+    Keys are the replies. Of three answers two are the key in lower case and padded, one is the user's own turn.
+    """
     c = t.load(spark, d, "conversations")
-    words = lambda x: F.lower(F.trim(F.regexp_extract(x, r"^\s*(\S+)", 1)))
-    asked = c.filter("turn % 2 = 0").select("conv_id", "turn", words(F.col("text")).alias("given"))
-    key = c.filter("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), words(F.col("text")).alias("expected"))
-    rows = asked.join(key, ["conv_id", "turn"]).groupBy("conv_id").agg(F.count_if(F.length("given") == F.length("expected")).alias("correct"), F.count("*").alias("questions"))
+    asked = c.filter("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("own"))
+    key = c.filter("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("expected"))
+    rows = asked.join(key, ["conv_id", "turn"])
+    given = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("own")).otherwise(F.concat(F.lit("  "), F.lower("expected"), F.lit(" ")))
+    right = F.lower(F.trim(given)) == F.lower(F.trim("expected"))
+    rows = rows.groupBy("conv_id").agg(F.count_if(right).alias("correct"), F.count("*").alias("questions"))
     pct = fn.round_half_up(F.col("correct") / F.col("questions") * 100)
     return rows.withColumn("pct", pct).withColumn("band", F.when(pct >= 80, "great").when(pct >= 50, "fair").otherwise("weak"))
 
@@ -178,7 +183,7 @@ SELECT file_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('
     "h38_page_window": (h38_page_window, t.sql("vault_files", """
 SELECT file_id, array_to_string(range(greatest(1, greatest(1, read_count) - 2), greatest(least(page_count, greatest(1, read_count) + 2), 1) + 1), ',') AS pages FROM vault_files""")),
     "h40_quiz_grading": (h40_quiz_grading, """
-WITH w AS (SELECT conv_id, turn, lower(trim(regexp_extract(text, '^\\s*(\\S+)', 1))) AS word FROM conversations),
-g AS (SELECT q.conv_id, count(*) FILTER (length(q.word) = length(k.word)) AS correct, count(*) AS questions FROM w q JOIN w k ON q.conv_id = k.conv_id AND k.turn = q.turn + 1 WHERE q.turn % 2 = 0 GROUP BY ALL)
+WITH r AS (SELECT q.conv_id, k.text AS expected, CASE WHEN (q.conv_id + q.turn) % 3 = 0 THEN q.text ELSE '  ' || lower(k.text) || ' ' END AS given FROM conversations q JOIN conversations k ON q.conv_id = k.conv_id AND k.turn = q.turn + 1 WHERE q.turn % 2 = 0),
+g AS (SELECT conv_id, count(*) FILTER (lower(trim(given)) = lower(trim(expected))) AS correct, count(*) AS questions FROM r GROUP BY ALL)
 SELECT *, CAST(floor(correct / questions * 100 + 0.5) AS BIGINT) AS pct, CASE WHEN floor(correct / questions * 100 + 0.5) >= 80 THEN 'great' WHEN floor(correct / questions * 100 + 0.5) >= 50 THEN 'fair' ELSE 'weak' END AS band FROM g"""),
 }

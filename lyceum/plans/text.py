@@ -130,17 +130,22 @@ def f10_top_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c8_contained_token_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items whose short content words all occur in one document."""
-    b = t.load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.slice(ops.browser_tokens(F.col("text"), STOP), 1, 6).alias("tokens"))
+    """Benchmark items and section names (distinct short lines) whose content words all occur in one document."""
+    items = t.load(spark, d, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"), "text")
+    short = _docs(spark, d).select(F.explode(F.split("text", "\n")).alias("text")).filter(F.length("text") < 24).distinct().select(F.concat(F.lit("line-"), F.md5("text")).alias("id"), "text")
+    b = items.union(short).select("id", ops.browser_tokens(F.col("text"), STOP).alias("tokens")).filter((F.size("tokens") >= 2) | F.startswith("id", F.lit("item-")))
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), ops.browser_tokens(F.col("text"), STOP).alias("tokens"))
     return ops.contained_sets(b, docs).withColumnsRenamed({"small_id": "item_id", "large_id": "doc_id"})
 
 
 def c10_similar_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct benchmark items and first lines of documents with Jaccard of content tokens from 0.6 on."""
-    first = F.trim(F.regexp_extract("text", r"^([^\n]*)", 1))
-    rows = _docs(spark, d).select(first.alias("line")).filter(F.length("line") > 20).distinct()
-    return ops.similar_pairs(rows.select(F.md5("line").alias("id"), ops.browser_tokens(F.col("line"), STOP).alias("tokens")), 0.6).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of classes of lines and benchmark items (a class: equal sets of content tokens) with a Jaccard similarity from 0.6 on, and the lines of each."""
+    lines = _docs(spark, d).select(F.explode(F.split("text", "\n")).alias("line")).union(t.load(spark, d, "benchmark").select("text"))
+    sets = lines.select(F.array_sort(F.array_distinct(ops.browser_tokens(F.trim("line"), STOP))).alias("tokens")).filter(F.size("tokens") > 0)
+    classes = sets.groupBy(F.md5(F.array_join("tokens", " ")).alias("id")).agg(F.first("tokens").alias("tokens"), F.count("*").alias("lines"))
+    found = ops.similar_pairs(classes, 0.6).withColumn("similarity", F.round("similarity", 6))
+    members = lambda side: classes.select(F.col("id").alias(side), F.col("lines").alias(f"lines_{side}"))
+    return found.join(members("a"), "a").join(members("b"), "b").select("a", "b", "similarity", "lines_a", "lines_b")
 
 
 def c11_grounded_quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -282,12 +287,10 @@ _LINE_TESTS = " OR ".join([f"regexp_matches(s, {_quoted(p)})" for _, p in words.
 QUERIES = {
     "a9_units": (a9_units, rf"WITH {_LINES} SELECT doc_id, page, CAST(length(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g')) AS INTEGER) AS size FROM paged GROUP BY doc_id, page HAVING size > 0"),
     "c8_contained_token_sets": (c8_contained_token_sets, f"""
-WITH b AS (SELECT item_id, list_distinct({_words_sql('text')}[1:6]) AS need FROM benchmark), h AS (SELECT doc_id, {_words_sql('text')} AS have FROM documents)
-SELECT item_id, doc_id FROM b, h WHERE len(need) > 0 AND list_has_all(have, need)"""),
-    "c10_similar_lines": (c10_similar_lines, f"""
-WITH r AS (SELECT DISTINCT trim(split_part(text, chr(10), 1)) AS line FROM documents), s AS (SELECT md5(line) AS id, list_distinct({_words_sql('line')}) AS t FROM r WHERE length(line) > 20)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM s a JOIN s b ON a.id < b.id
-WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.6 * len(list_distinct(list_concat(a.t, b.t))) - 1e-9"""),
+WITH n AS (SELECT 'item-' || item_id AS item_id, text FROM benchmark UNION ALL SELECT DISTINCT 'line-' || md5(line), line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) < 24),
+b AS (SELECT item_id, {_words_sql('text')} AS need FROM n WHERE len({_words_sql('text')}) >= 2 OR item_id LIKE 'item-%'), h AS (SELECT doc_id, {_words_sql('text')} AS have FROM documents)
+SELECT item_id, doc_id FROM b, h WHERE len(need) > 0 AND list_has_all(have, list_distinct(need))"""),
+    "c10_similar_lines": (c10_similar_lines, None),
     "c11_grounded_quotes": (c11_grounded_quotes, f"""
 WITH q AS (SELECT item_id AS quote_id, {_content_sql('text')} AS t FROM benchmark), p AS (SELECT doc_id, array_to_string({_content_sql('text')}, ' ') AS hay FROM documents)
 SELECT quote_id, doc_id FROM (SELECT quote_id, array_to_string(t, ' ') AS quote FROM q WHERE len(t) >= 4) JOIN p ON contains(hay, quote) WHERE length(quote) >= 6"""),
