@@ -130,10 +130,8 @@ def f10_top_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c8_contained_token_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items and section names (distinct short lines) whose content words all occur in one document."""
-    items = t.load(spark, d, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("id"), "text")
-    short = _docs(spark, d).select(F.explode(F.split("text", "\n")).alias("text")).filter(F.length("text") < 24).distinct().select(F.concat(F.lit("line-"), F.md5("text")).alias("id"), "text")
-    b = items.union(short).select("id", ops.browser_tokens(F.col("text"), STOP).alias("tokens")).filter((F.size("tokens") >= 2) | F.startswith("id", F.lit("item-")))
+    """Benchmark items whose content words all occur in one document."""
+    b = t.load(spark, d, "benchmark").select(F.col("item_id").alias("id"), ops.browser_tokens(F.col("text"), STOP).alias("tokens"))
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), ops.browser_tokens(F.col("text"), STOP).alias("tokens"))
     return ops.contained_sets(b, docs).withColumnsRenamed({"small_id": "item_id", "large_id": "doc_id"})
 
@@ -287,8 +285,7 @@ _LINE_TESTS = " OR ".join([f"regexp_matches(s, {_quoted(p)})" for _, p in words.
 QUERIES = {
     "a9_units": (a9_units, rf"WITH {_LINES} SELECT doc_id, page, CAST(length(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g')) AS INTEGER) AS size FROM paged GROUP BY doc_id, page HAVING size > 0"),
     "c8_contained_token_sets": (c8_contained_token_sets, f"""
-WITH n AS (SELECT 'item-' || item_id AS item_id, text FROM benchmark UNION ALL SELECT DISTINCT 'line-' || md5(line), line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) < 24),
-b AS (SELECT item_id, {_words_sql('text')} AS need FROM n WHERE len({_words_sql('text')}) >= 2 OR item_id LIKE 'item-%'), h AS (SELECT doc_id, {_words_sql('text')} AS have FROM documents)
+WITH b AS (SELECT item_id, {_words_sql('text')} AS need FROM benchmark), h AS (SELECT doc_id, {_words_sql('text')} AS have FROM documents)
 SELECT item_id, doc_id FROM b, h WHERE len(need) > 0 AND list_has_all(have, list_distinct(need))"""),
     "c10_similar_lines": (c10_similar_lines, None),
     "c11_grounded_quotes": (c11_grounded_quotes, f"""
