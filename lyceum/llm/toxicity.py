@@ -27,6 +27,8 @@ MOST_CLEAN, MOST_TOXIC = 9_000, 5_000
 MOST_FEATURES = 4_000
 LEAST_Z = 4.5
 BEGINNINGS = (4, 5, 6)
+#: Words whose features a task remembers.
+MEMORY = 50_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -57,7 +59,7 @@ class Severity:
         for word in words_of(text):
             found = known.get(word)
             if found is None:
-                if len(known) > 500_000:
+                if len(known) > MEMORY:
                     known.clear()
                 found = known[word] = tuple(f for f in features_of(word) if f in self.weights)
             if found:
@@ -76,29 +78,44 @@ def fit(texts: list[str | None], grades: list[int], row_weights: list[float], st
         return Severity()
     y = np.searchsorted(present, grades)
     weight = np.asarray(row_weights, dtype=float)
-    docs = [words_of(t) for t in texts]
+    # Words and features as numbers, so that the sample takes a few MB: the features of word w are flat[bounds[w]:bounds[w + 1]].
+    words: dict[str, int] = {}
+    docs = [np.array(sorted(words.setdefault(w, len(words)) for w in words_of(t)), dtype=np.int64) for t in texts]
+    names: dict[str, int] = {}
+    lists = [[names.setdefault(f, len(names)) for f in features_of(w)] for w in words]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+    flat = np.fromiter((f for x in lists for f in x), dtype=np.int64, count=int(bounds[-1]))
+    del words, lists
+
+    def found_in(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of a document, and of how many of its words."""
+        n = bounds[doc + 1] - bounds[doc]
+        return np.unique(flat[np.repeat(bounds[doc] - np.cumsum(n) + n, n) + np.arange(n.sum())], return_counts=True)
+
     # Selection by how far the two document frequencies lie apart, in standard errors.
-    frequency = [Counter(), Counter()]
+    frequency = np.zeros((2, len(names)))
     for doc, grade in zip(docs, y):
-        frequency[int(grade > 0)].update({f for w in doc for f in features_of(w)})
+        frequency[int(grade > 0), found_in(doc)[0]] += 1
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y > 0).sum()))
-    z = {}
-    for f in frequency[0].keys() | frequency[1].keys():
-        a, b = frequency[0][f], frequency[1][f]
-        if a + b >= 3:
-            p = (a + b) / (n0 + n1)
-            z[f] = abs(a / n0 - b / n1) / np.sqrt(max(1e-12, p * (1 - p) * (1 / n0 + 1 / n1)))
-    chosen = sorted((f for f in z if z[f] >= LEAST_Z), key=lambda f: (-z[f], f))[:MOST_FEATURES]
+    p = frequency.sum(axis=0) / (n0 + n1)
+    z = np.abs(frequency[0] / n0 - frequency[1] / n1) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n0 + 1 / n1)))
+    of = np.array(list(names), dtype=object)
+    good = np.flatnonzero((frequency.sum(axis=0) >= 3) & (z >= LEAST_Z)).tolist()
+    good = sorted(good, key=lambda f: (-z[f], of[f]))[:MOST_FEATURES]
+    chosen = [of[f] for f in good]
     if not chosen:
         return Severity()
-    index = {f: i for i, f in enumerate(chosen)}
+    column = np.full(len(names), -1)
+    column[good] = np.arange(len(good))
     rows, columns, values = [], [], []
     for i, doc in enumerate(docs):
-        for f, n in sorted(Counter(f for w in doc for f in features_of(w) if f in index).items()):
-            rows.append(i)
-            columns.append(index[f])
-            values.append(np.log1p(n))
-    rows, columns, values = np.array(rows), np.array(columns), np.array(values)
+        features, n = found_in(doc)
+        here = column[features] >= 0
+        rows.append(np.full(int(here.sum()), i))
+        columns.append(column[features[here]])
+        values.append(np.log1p(n[here]))
+    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+    del docs, flat, bounds
     k = len(present) - 1
     share = [weight[y > j].sum() / weight.sum() for j in range(k)]
     start = [float(-np.log(s / (1 - s))) for s in share]
