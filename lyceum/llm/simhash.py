@@ -121,6 +121,7 @@ def close_links(nodes: DataFrame, distance: int = 4, segments: int | None = None
         asks.append(_ask_ball(s, _ball(value, high - low, distance // segments)))
     index = nodes.select(F.explode(F.array(*entries)).alias("key"), F.col("node").alias("b"), F.col("fp").alias("fb"))
     probe = nodes.select(F.explode(F.concat(*asks)).alias("ask"), "node", "fp").select("ask.key", "ask.same", "node", "fp")
+    probe = cut(probe, "simhash-asked")  # read by three joins
     full = cut(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FULL_KEY).select("key"), "simhash-full-keys")
     asking = probe.join(full, "key", "left_anti").select(F.col("key").alias("asked"), "same", F.col("node").alias("a"), F.col("fp").alias("fa"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
