@@ -1,15 +1,17 @@
 """Passages that repeat: paragraphs by MinHash banding, and passages inside paragraphs by anchored windows.
 
-A paragraph is a line of at least LEAST_WORDS words. Its five-word shingles give a MinHash signature, whose
-bands are tuned for a recall of candidates. Paragraphs that collide in a band are joined to a cluster of
+A paragraph is a line of at least LEAST_WORDS words, or a run of shorter lines (hard-wrapped text) that together
+have as many: such a run ends at a blank line once it has enough words, and at a longer line. Shorter lines that
+stand alone between longer ones are no paragraph. Its five-word shingles give a MinHash signature, whose bands are tuned for a recall of candidates. Paragraphs that collide in a band are joined to a cluster of
 candidates (by star links, so a bucket of any size costs one link a member); within a cluster the exact
 Jaccard similarity decides, in blocks, and the components of verified links are the classes.
 
 A passage that sits inside longer paragraphs, or runs over several, is found by its windows: wherever the
 hash of a shingle is the smallest among its neighbours, LEAST_WORDS words from there on are an entry. Any
-passage of LEAST_WORDS + NEIGHBOURS - 1 words holds the same entry wherever it stands. Equal entries link, and
-where they end a run they are made longer word by word, as long as the longer window stands elsewhere too. A
-passage goes on for less than NEIGHBOURS words beyond its first and last entry, so this reaches its ends.
+passage of LEAST_PASSAGE = LEAST_WORDS + NEIGHBOURS - 1 words holds the same entry wherever it stands. Equal entries
+link, and where they end a run they are made longer word by word, as long as the longer window stands elsewhere
+too. A passage goes on for less than NEIGHBOURS words beyond its first and last entry, so this reaches its ends.
+Runs of fewer than LEAST_PASSAGE words would be found or not by their hashes, so they are left out.
 
 Words are runs of characters other than space and U+0009 to U+000D; A-Z count as a-z.
 """
@@ -30,6 +32,7 @@ from lyceum.llm.shared import cut
 
 LEAST_WORDS = 24
 NEIGHBOURS = 27
+LEAST_PASSAGE = LEAST_WORDS + NEIGHBOURS - 1
 SHINGLE = 5
 #: The table of paragraphs to verify goes to every task up to so many rows (about 50 bytes each); else it is joined by shuffle.
 MOST_BROADCAST = 400_000
@@ -41,7 +44,7 @@ BUCKET = 10_000
 _PIECE = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _ENTRY, _PARAGRAPH, _WITHIN, _AGAIN = 0, 1, 2, 3
-_ROWS = "kind int, doc_id long, a long, b long, start int, stop int, bands array<long>"
+_ROWS = "kind int, doc_id long, a long, b long, start int, stop int, word int, bands array<long>"
 
 
 def tuned_bands(similarity: float, recall: float = 0.995, rows: int = 3) -> int:
@@ -88,6 +91,28 @@ def _runs(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], np.maximum.reduceat(stops, at)
 
 
+def _paragraphs(low: np.ndarray, high: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of each paragraph, from the words and the number of each line that has any."""
+    if (high - low >= LEAST_WORDS).all():
+        return low, high
+    out, start, end, before = [], -1, -1, -1
+    for i, j, at in zip(low.tolist(), high.tolist(), line.tolist()):
+        long = j - i >= LEAST_WORDS
+        if start >= 0 and (long or at > before + 1 and end - start >= LEAST_WORDS):
+            out.append((start, end))
+            start = -1
+        if long:
+            out.append((i, j))
+        else:
+            start, end = (i if start < 0 else start), j
+        before = at
+    if start >= 0:
+        out.append((start, end))
+    i, j = np.array(out, dtype=np.int64).reshape(-1, 2).T
+    enough = j - i >= LEAST_WORDS
+    return i[enough], j[enough]
+
+
 class Reader:
     """Entries and paragraphs of texts."""
 
@@ -130,7 +155,7 @@ class Reader:
         return lambda i, j: [_mixed((s[j] - s[i]) * inverse[i] + (j - i).astype(np.uint64)).view(np.int64) for s, inverse in zip(sums, self.powers.inverse)]
 
     def read(self, text: str):
-        """Yields (kind, a, b, start, stop, bands) as arrays; bands is None but for paragraphs."""
+        """Yields (kind, a, b, start, stop, word, bands) as arrays; word is the first one's number, bands is None but for paragraphs."""
         with np.errstate(over="ignore"):
             hashes, starts, ends, lines = self.words(text)
             n = len(hashes)
@@ -160,12 +185,12 @@ class Reader:
                 again = np.ones(len(a), dtype=bool)
                 again[np.unique(a, return_index=True)[1]] = False
                 for kind, at in ((_ENTRY, ~again), (_AGAIN, again)):
-                    yield kind, a[at], b[at], starts[anchors[at]], ends[anchors[at] + LEAST_WORDS - 1], None
+                    yield kind, a[at], b[at], starts[anchors[at]], ends[anchors[at] + LEAST_WORDS - 1], anchors[at].astype(np.int32), None
             low = np.concatenate([[0], np.flatnonzero(np.diff(lines)) + 1])
             high = np.concatenate([low[1:], [n]])
-            long = high - low >= LEAST_WORDS
-            if long.any():
-                a, b, i, j = first_of_each(low[long], high[long])
+            low, high = _paragraphs(low, high, lines[low])
+            if len(low):
+                a, b, i, j = first_of_each(low, high)
                 edges = np.stack([i, j - SHINGLE + 1], axis=1).ravel()
                 some = np.append(shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
                 least = np.empty((len(self.scale), len(a)), dtype=np.uint64)
@@ -177,13 +202,13 @@ class Reader:
                 joined = np.tile(np.arange(self.bands, dtype=np.uint64)[:, None], (1, len(a)))
                 for r in range(self.rows):
                     joined = joined * np.uint64(_ODD[1]) + least[r :: self.rows]
-                yield _PARAGRAPH, a, b, starts[i], ends[j - 1], np.ascontiguousarray(_mixed(joined).T).view(np.int64)
+                yield _PARAGRAPH, a, b, starts[i], ends[j - 1], i.astype(np.int32), np.ascontiguousarray(_mixed(joined).T).view(np.int64)
             if within:
                 i, j = (np.concatenate(x) for x in zip(*within))
                 order = np.argsort(i, kind="stable")
                 i, j = _runs(i[order], j[order])
                 none = np.zeros(len(i), dtype=np.int64)
-                yield _WITHIN, none, none, i, j, None
+                yield _WITHIN, none, none, i, j, none.astype(np.int32), None
 
 
 def _read(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -192,11 +217,11 @@ def _read(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                parts = [[] for _ in range(6)]
+                parts = [[] for _ in range(7)]
                 lists, offsets, size = [], [np.zeros(1, np.int32)], 0
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for kind, a, b, i, j, signature in reader.read(text.as_py() or ""):
-                        for part, x in zip(parts, (np.full(len(a), kind, np.int32), np.full(len(a), doc_id, np.int64), a, b, i, j)):
+                    for kind, a, b, i, j, word, signature in reader.read(text.as_py() or ""):
+                        for part, x in zip(parts, (np.full(len(a), kind, np.int32), np.full(len(a), doc_id, np.int64), a, b, i, j, word)):
                             part.append(x)
                         step = 0 if signature is None else signature.shape[1]
                         if step:
@@ -206,7 +231,7 @@ def _read(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if parts[0]:
                     columns = [pa.array(np.concatenate(p)) for p in parts]
                     values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.concatenate(offsets)), values)], ["kind", "doc_id", "a", "b", "start", "stop", "bands"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.concatenate(offsets)), values)], ["kind", "doc_id", "a", "b", "start", "stop", "word", "bands"])
 
     named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ROWS)
@@ -247,7 +272,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Word hashes and edges of the up to NEIGHBOURS - 1 words on either side of the entries wanted (doc_id, start, a, b, left, right).
 
-    at and to are the entry's start and stop; a and b digest it with the nearest word of that side.
+    at and to are the entry's start and stop, word its first word's number; a and b digest it with the nearest word of that side.
     """
     by_doc = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("a", "b", "start", "left", "right")).alias("__wanted"))
     by_doc = F.broadcast(by_doc) if wanted.count() <= MOST_BROADCAST else by_doc
@@ -269,8 +294,8 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             step = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
             at = np.repeat(here, n) - 1 - step if before else np.repeat(stop, n) + step
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (hashes[at].view(np.int64), (starts if before else ends)[at])]
-            columns = [np.full(len(here), doc_id, np.int64), starts[here], ends[stop - 1], np.full(len(here), before), *digests(here - before, stop + (not before))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc_id", "at", "to", "before", "a", "b", "words", "edges"])
+            columns = [np.full(len(here), doc_id, np.int64), starts[here], ends[stop - 1], here.astype(np.int32), np.full(len(here), before), *digests(here - before, stop + (not before))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc_id", "at", "to", "word", "before", "a", "b", "words", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(1, 1)
@@ -279,7 +304,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                     yield from around(reader, doc_id, text.as_py() or "", batch.column(2)[k].values)
 
-    return found.mapInArrow(run, "doc_id long, at int, to int, before boolean, a long, b long, words array<long>, edges array<int>")
+    return found.mapInArrow(run, "doc_id long, at int, to int, word int, before boolean, a long, b long, words array<long>, edges array<int>")
 
 
 def _numbered(*columns: np.ndarray) -> np.ndarray:
@@ -294,7 +319,7 @@ def _numbered(*columns: np.ndarray) -> np.ndarray:
 def _as_far_as_shared(rows: pa.Table) -> pa.Table:
     """Entries with their surroundings as far as they stand elsewhere too: what an earlier place has, and what only later documents have."""
     rows = rows.combine_chunks()
-    doc, at, to, before, a, b = (np.asarray(rows[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "at", "to", "before", "a", "b"))
+    doc, at, to, word, before, a, b = (np.asarray(rows[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "at", "to", "word", "before", "a", "b"))
     lists = [rows[c].combine_chunks() for c in ("words", "edges")]
     words, edges = (np.asarray(x.flatten()) for x in lists)
     n = np.asarray(lists[0].value_lengths())
@@ -324,18 +349,20 @@ def _as_far_as_shared(rows: pa.Table) -> pa.Table:
     for k in (0, 1):
         i = np.flatnonzero(reach[k])
         edge = edges[first_word[i] + reach[k, i] - 1]
-        out.append(pa.table({"doc_id": doc[i], "start": np.where(before[i], edge, at[i]), "stop": np.where(before[i], to[i], edge), "first": first[k, i], "kept": np.full(len(i), k == 1)}))
+        span = {"start": np.where(before[i], edge, at[i]), "stop": np.where(before[i], to[i], edge)}
+        numbers = {"word": (word[i] - before[i] * reach[k, i]).astype(np.int32), "end": (word[i] + LEAST_WORDS + ~before[i] * reach[k, i]).astype(np.int32)}
+        out.append(pa.table({"doc_id": doc[i], **span, **numbers, "first": first[k, i], "kept": np.full(len(i), k == 1)}))
     return pa.concat_tables(out)
 
 
 def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, first, kept): passages around entries that stand elsewhere too, to their ends."""
-    entries = found.filter(F.col("kind").isin(_ENTRY, _AGAIN)).select("a", "b", "doc_id", "start", "stop", (F.col("kind") == _AGAIN).alias("again"))
+    """(doc_id, start, stop, first, kept): passages of at least LEAST_PASSAGE words around entries that stand elsewhere too, to their ends."""
+    entries = found.filter(F.col("kind").isin(_ENTRY, _AGAIN)).select("a", "b", "doc_id", "start", "stop", "word", (F.col("kind") == _AGAIN).alias("again"))
 
     held = entries.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("again").cast("int")).alias("repeated"))
     kept = (F.col("doc_id") == F.col("first")) & ~F.col("again")  # no document or place comes before
     shared = entries.join(held.filter("first < last or repeated > 0"), ["a", "b"]).withColumn("kept", kept).filter(~kept | (F.col("first") < F.col("last")))
-    shared = cut(shared.select("a", "b", "doc_id", "start", "stop", "first", "kept"), "passages-entries")
+    shared = cut(shared.select("a", "b", "doc_id", "start", "stop", "word", "first", "kept"), "passages-entries")
     in_order = Window.partitionBy("doc_id", "kept").orderBy("start")
     left = F.coalesce(F.lag("stop").over(in_order) < F.col("start"), F.lit(True))
     right = F.coalesce(F.lead("start").over(in_order) > F.col("stop"), F.lit(True))
@@ -346,8 +373,19 @@ def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
     # By the nearest word too, so places of a common entry are apart unless they go on alike.
     buckets = max(1, around.count() // BUCKET)
     around = around.withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
-    longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, first long, kept boolean")
-    return shared.select("doc_id", "start", "stop", "first", "kept").union(longer)
+    longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, word int, end int, first long, kept boolean")
+    every = shared.select("doc_id", "start", "stop", "word", (F.col("word") + LEAST_WORDS).alias("end"), "first", "kept").union(longer)
+    numbers = [F.min("word").alias("word"), F.max("end").alias("end")]
+    return _united(every, numbers).filter(F.col("end") - F.col("word") >= LEAST_PASSAGE).select("doc_id", "start", "stop", "first", "kept")
+
+
+def _united(spans: DataFrame, more: list | None = None) -> DataFrame:
+    """Spans (doc_id, start, stop, first, kept) united where they touch, with the smallest first of each run."""
+    in_order = Window.partitionBy("doc_id", "kept").orderBy("start", "stop", "first")
+    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    runs = opened.withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first"), *(more or []))
 
 
 def _compare(unit: pa.Table, similarity: float) -> pa.Table:
@@ -379,8 +417,8 @@ def _compare(unit: pa.Table, similarity: float) -> pa.Table:
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, rows: int = 3) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id, kept): passages of at least LEAST_WORDS words that stand in several
-    documents, or again in their own.
+    """(doc_id, start, stop, first_doc_id, kept): paragraphs, and passages of at least LEAST_PASSAGE words, that stand
+    in several documents, or again in their own.
 
     start and stop are code points, stop exclusive; spans that touch are united. In the document with the
     smallest doc_id that holds a passage, or a paragraph of its class, the passage is kept; elsewhere it goes,
@@ -401,12 +439,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, row
     by_paragraph = paragraphs.select("a", "b", "doc_id", "start", "stop").join(by_class, ["a", "b"]).select("doc_id", "start", "stop", "first")
     within = found.filter(F.col("kind") == _WITHIN).select("doc_id", "start", "stop", F.col("doc_id").alias("first"), F.lit(False).alias("kept"))
     spans = by_paragraph.withColumn("kept", F.col("doc_id") == F.col("first")).union(within).union(by_entry)
-    in_order = Window.partitionBy("doc_id", "kept").orderBy("start", "stop", "first")
-    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
-    runs = opened.withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    united = runs.groupBy("doc_id", "kept", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id"))
-    return united.select("doc_id", "start", "stop", "first_doc_id", "kept")
+    return _united(spans).select("doc_id", "start", "stop", F.col("first").alias("first_doc_id"), "kept")
 
 
 def _verified(docs: DataFrame, paragraphs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:

@@ -103,10 +103,21 @@ def words_of(text):
 
 
 def paragraphs_of(text, least=24):
-    """(shingles, start, stop) of each line of enough words."""
-    lines = {}
+    """(shingles, start, stop) of each line of enough words, and of each run of shorter ones that has as many together.
+
+    A run ends at a line of enough words, and at a blank line once it has enough.
+    """
+    lines, runs, before = {}, [[]], -1
     for w in words_of(text):
         lines.setdefault(w[3], []).append(w)
-    for ws in lines.values():
+    for at, ws in lines.items():
+        if len(ws) >= least:
+            runs += [ws, []]
+        else:
+            if at > before + 1 and len(runs[-1]) >= least:
+                runs.append([])
+            runs[-1].extend(ws)
+        before = at
+    for ws in runs:
         if len(ws) >= least:
             yield frozenset(tuple(w[0] for w in ws[i : i + 5]) for i in range(len(ws) - 4)), ws[0][1], ws[-1][2]

@@ -49,3 +49,28 @@ def test_longer_passages_of_later_documents_and_repeats_within(spark):
     assert kept[1] == [(*span(pads[0], passage[30:90]), 1)] and set(gone) == {2, 3, 4}
     ends = [p for s, e, _ in kept[2] for p in (s, e)]
     assert (min(ends), max(ends)) == span(pads[2], passage)
+
+
+def test_edited_passages_in_short_lines(spark):
+    """Hard-wrapped copies with a changed word in 29 share too little for windows; their lines are joined to paragraphs."""
+    rng = random.Random(10)
+    passage = words(rng, 130)
+    edited = [w if k % 29 else "new" for k, w in enumerate(passage)]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    first = f"{' '.join(words(rng, 60))}\n{wrap(passage, 11)}\n\n{' '.join(words(rng, 60))}"
+    second = f"{wrap(words(rng, 40), 8)}\n\n{wrap(edited, 13)}\n\n{wrap(words(rng, 30), 9)}"
+    df = spark.createDataFrame([(1, first), (2, second), (3, wrap(words(rng, 90), 10)), (4, "a b\n\nc d\n")], "doc_id long, text string")
+    found = {(r["doc_id"], r["start"], r["stop"], r["first_doc_id"], r["kept"]) for r in passages.repeats(df, similarity=0.6).collect()}
+    at, to = first.index(passage[0]), first.index(passage[-1]) + len(passage[-1])
+    other, end = second.index(wrap(edited, 13)), second.index(wrap(edited, 13)) + len(wrap(edited, 13))
+    assert found == {(1, at, to, 1, True), (2, other, end, 1, False)}
+
+
+def test_runs_too_short_for_sure_windows_are_left_out(spark):
+    """Whether 24 to 49 words inside longer paragraphs hold an entry is up to their hashes, so none is reported."""
+    rng = random.Random(11)
+    rows = []
+    for k, n in enumerate((24, 30, 36, 42, 48, 49)):
+        passage = words(rng, n)
+        rows += [(2 * k + d, " ".join(words(rng, 70) + passage + words(rng, 70))) for d in (0, 1)]
+    assert passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
