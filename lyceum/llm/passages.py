@@ -362,11 +362,10 @@ def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
     held = entries.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("again").cast("int")).alias("repeated"))
     kept = (F.col("doc_id") == F.col("first")) & ~F.col("again")  # no document or place comes before
     shared = entries.join(held.filter("first < last or repeated > 0"), ["a", "b"]).withColumn("kept", kept).filter(~kept | (F.col("first") < F.col("last")))
-    shared = cut(shared.select("a", "b", "doc_id", "start", "stop", "word", "first", "kept"), "passages-entries")
-    in_order = Window.partitionBy("doc_id", "kept").orderBy("start")
-    left = F.coalesce(F.lag("stop").over(in_order) < F.col("start"), F.lit(True))
-    right = F.coalesce(F.lead("start").over(in_order) > F.col("stop"), F.lit(True))
-    ends = shared.select("a", "b", left.alias("left"), right.alias("right")).filter(F.col("left") | F.col("right")).groupBy("a", "b").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    numbers = [F.min("word").alias("word"), F.max("end").alias("end")]
+    outer = [f(F.struct("a", "b"), F.struct("start", "a", "b")).alias(n) for f, n in ((F.min_by, "leftmost"), (F.max_by, "rightmost"))]
+    runs = cut(_united(shared.withColumn("end", F.col("word") + LEAST_WORDS), numbers + outer), "passages-runs")
+    ends = runs.select("leftmost.*", F.lit(True).alias("left"), F.lit(False).alias("right")).union(runs.select("rightmost.*", F.lit(False), F.lit(True))).groupBy("a", "b").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     # What stands elsewhere as a part of a longer run counts as well, so all places of such entries are wanted.
     wanted = cut(entries.join(ends, ["a", "b"]).select("doc_id", "start", "a", "b", "left", "right").distinct(), "passages-ends")
     around = cut(_surroundings(docs, wanted), "passages-around")
@@ -374,8 +373,7 @@ def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
     buckets = max(1, around.count() // BUCKET)
     around = around.withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
     longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, word int, end int, first long, kept boolean")
-    every = shared.select("doc_id", "start", "stop", "word", (F.col("word") + LEAST_WORDS).alias("end"), "first", "kept").union(longer)
-    numbers = [F.min("word").alias("word"), F.max("end").alias("end")]
+    every = runs.select("doc_id", "start", "stop", "word", "end", "first", "kept").union(longer)
     return _united(every, numbers).filter(F.col("end") - F.col("word") >= LEAST_PASSAGE).select("doc_id", "start", "stop", "first", "kept")
 
 
