@@ -368,10 +368,10 @@ def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
     ends = runs.select("leftmost.*", F.lit(True).alias("left"), F.lit(False).alias("right")).union(runs.select("rightmost.*", F.lit(False), F.lit(True))).groupBy("a", "b").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     # What stands elsewhere as a part of a longer run counts as well, so all places of such entries are wanted.
     wanted = cut(entries.join(ends, ["a", "b"]).select("doc_id", "start", "a", "b", "left", "right").distinct(), "passages-ends")
-    around = cut(_surroundings(docs, wanted), "passages-around")
+    sides = wanted.agg(F.sum(F.col("left").cast("int") + F.col("right").cast("int"))).first()[0] or 0
     # By the nearest word too, so places of a common entry are apart unless they go on alike.
-    buckets = max(1, around.count() // BUCKET)
-    around = around.withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
+    buckets = max(1, sides // BUCKET)
+    around = _surroundings(docs, wanted).withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
     longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, word int, end int, first long, kept boolean")
     every = runs.select("doc_id", "start", "stop", "word", "end", "first", "kept").union(longer)
     return _united(every, numbers).filter(F.col("end") - F.col("word") >= LEAST_PASSAGE).select("doc_id", "start", "stop", "first", "kept")
