@@ -141,3 +141,84 @@ DETERMINERS = "the a an this that these those its their his her our your some an
 NAMED_HEADING = r"(?i)^\s*(chapter|section|part|unit|module|lesson|topic|appendix|figure|table|الفصل|القسم|الجزء|الوحدة|الدرس|الباب|الموضوع|شكل|جدول)\b"
 GENERIC_LABELS = ["introduction", "conclusion", "summary", "chapter summary", "overview", "review", "review question", "review questions", "chapter review", "exam tip", "key exam tip", "objectives", "learning objectives", "table of contents", "contents", "references", "bibliography", "appendix", "glossary", "index", "preface", "exercises", "key terms", "further reading", "مقدمه", "خلاصه", "ملخص", "مراجعه", "اهداف", "فهرس", "مراجع"]
 TRIVIAL = r"\bpages?\s*\d|what page|which page|how many pages|\bisbn\b|\bword count\b|how many words|\bnumber of words\b|\bcopyright\b|all rights reserved|\btable of contents\b|\bcontents\b|\bappendix\b|\breferences\b|\bbibliography\b|\bheader\b|\bfooter\b|\bpublished\b|\btitle of\b|\bauthor name\b|\bedition\b|\bprint(ed|ing)\b|\bpage size\b"
+
+# What opens a sentence without naming what it is about.
+DISCOURSE_OPENER = (
+    r"(?iU)^\s*(?:in\s+(?:contrast|summary|addition|fact|other\s+words|general|particular)|unlike|instead|rather|similarly|likewise|conversely|nevertheless|meanwhile|"
+    r"together|overall|finally|first|second|third|next|then|also|because(?:\s+of)?|however|therefore|thus|hence|moreover|furthermore|although|though|while|whereas|since|"
+    r"for\s+example|for\s+instance|as\s+a\s+result|consequently|on\s+the\s+other\s+hand|by\s+contrast|many\s+students|students|a\s+key\s+exam\s+tip|each\s+group|"
+    r"this|these|those|it|they|there|such|both|every|some|many|most|understanding|remember|note)\b[\s,]*"
+)
+LEADING_DETERMINER = r"(?iU)^(?:the|a|an)\s+"
+LEADING_ADVERB = r"(?iU)^[A-Za-z]+ly\b[\s,]*"
+LEADING_SUBORDINATE = r"(?iU)^\s*(?:although|though|even\s+though|while|whereas|whilst|if|unless|when|whenever|because|since|as\s+long\s+as|provided\s+that|in\s+order\s+that|so\s+that|after|before|until)\b[^,]{3,120},\s*"
+CORRELATIVE = r"(?iU)^\s*the\s+(?:\w+er|more|less|greater|smaller|larger|fewer|higher|lower)\b[^,]{3,120},\s*the\s+(?:\w+er|more|less|greater|smaller|larger|fewer|higher|lower)\b"
+ANAPHORIC = (
+    r"(?iU)^\s*(?:it|they|this|these|the\s+(?:process|structure|organelle|component|mechanism|algorithm|method|technique|rule|law|principle|theorem|reaction|system|device|"
+    r"element|compound|molecule|enzyme|force|function|operation|procedure|phenomenon|concept|term|quantity|value|unit|stage|phase|step))\b"
+)
+# The words of a term, and what stands behind a term that is being defined.
+TERM = r"[A-Za-z][A-Za-z0-9'’\-]*(?:\s+[A-Za-z][A-Za-z0-9'’\-]+){0,3}"
+SUBJECT = r"[A-Za-z][A-Za-z0-9'’\-]*(?:\s+[A-Za-z][A-Za-z0-9'’\-]+){0,4}"
+DEFINING = [r"\s+(?:is|are)\s+defined\s+as\b", r"\s+refers?\s+to\b", r"\s+(?:is|are)\s+(?:the|a|an)\b", r"\s+(?:is|are)\s+(?:called|known\s+as)\b"]
+DEFINING_AR = (r"[؀-ۿ][؀-ۿ\s]{2,40}?", r"\s+(?:هو|هي)\s")
+ALIAS = r"([A-Za-z][\w\- ']{2,60}?)\s*(?:\(\s*([A-Za-z][\w\-]{1,20})\s*\)|,?\s*(?:commonly\s+)?(?:abbreviated|known|referred\s+to|called)\s+(?:as\s+)?([A-Za-z][\w\- ']{1,40}?)(?=[,.;]|$))"
+# Words at which a name ends and the claim begins; words that open a clause; words that open a complement.
+PREDICATE_STOP = """is are was were be been being has have had do does did can could may might must
+should would will shall which that who whose when where while to for with from by
+consists contains includes occurs occur uses use used produces produce generate
+generates refers refer means mean states state exists exist proceeds proceed lacks lack
+breaks break carries carry houses house converts convert modifies modify allows
+allow regulates regulate assigns assign selects select chooses choose schedules
+schedule executes execute runs run holds hold requires require provides provide
+describes describe measures measure represents represent equals equal gives give
+takes take makes make keeps keep prevents prevent enables enable causes cause
+determines determine depends depend applies apply write writes writing said says""".split()
+SUBORDINATORS = "although though while whereas whilst if unless when whenever because since after before until so that which who whose where why how".split()
+COMPLEMENT_OPENERS = """the a an to from into onto with by for in on at as than between
+through against among upon over under toward towards about that this these those its their his her our your only completely partially entirely
+always never often usually specifically directly when where how why""".split()
+NOUN_ENDING = r"(?i)(?:ss|us|is|ics|ness|ies|sis|ses|nces|ments|tions|sions|ions)$"
+STRANDED = r"(?:then|now|later|soon|thus|hence|also|already|still|again|often|always|never|usually|generally|typically|eventually|finally|therefore|however|\w+ly)[^\w\s]*"
+CIRCUMSTANCE = r"(?:in|on|at|during|after|before|since|from|by|with)"
+# Starts, endings and words that make a phrase no name.
+NO_NAME = [
+    r"(?iU)^(?:preparing|studying|reviewing|understanding|remembering|learning|noting|considering|using|applying|explaining|describing|mastering|find|remember|note|consider|explain|describe|compare|identify|list|state|see|read)\b",
+    r"(?iU)\b(?:the|a|an|of|to|in|on|for|with|from|by|as|at|into|and|or|but|that|which|between|within|through|during|before|after|much|like|this|these|those|its|their)$",
+    r"(?iU)^(?:a\s+|an\s+|the\s+)?(?:common|key|important|useful|typical|classic|general|main|basic|simple|helpful|final|first|last|next|another|related)\s+(?:exam\s+)?"
+    r"(?:tip|note|point|idea|example|misconception|mistake|error|theorem|rule|result|case|approach|method|technique|strategy|observation|remark|question|problem|step|feature|property|fact|topic|concept|term|definition)s?$",
+    r"(?iU)^(?:for|with|from|by|to|in|on|at|as|of|into|about|between|within|through|during|after|before|since|because|if|when|while|that|which|we|you|they|it|he|she|there|here|its|their|our|his|her)\b",
+    r"(?iU)^[A-Za-z]{3,}ly\s",
+    r"(?iU)^(?:each|every|all|both|any|some|either|neither|several|many|most|few|this|that|these|those|such|other|another|its|their|his|her)\b",
+    r"(?iU)\b(?:of|in|on|for|to|with)\s+(?:the|a|an)?$",
+]
+NO_HEAD = "mastery understanding knowledge familiarity awareness recall revision practice study studying preparation review summary overview introduction conclusion".split()
+NO_CONCEPT = """contrast summary addition fact example instance result role thing things way ways
+part parts case cases point points group groups form forms type types kind kinds
+student students exam tip tips chapter section page approach approaches idea ideas
+note notes topic topics misconception misconceptions mastery overview aspect aspects
+detail details item items feature features step steps new old common simple
+important key main basic general""".split()
+CONTAINERS = """equation formula process procedure method technique system structure function
+diagram figure table chart graph model theory law rule principle concept term
+definition example section chapter unit topic subject material content item
+element component factor value number result output input step stage phase
+part piece portion aspect property attribute characteristic
+problem issue case situation approach way idea point detail note
+advantage disadvantage benefit drawback limitation feature purpose role""".split()
+EVALUATIVE = """significant important major minor common general specific particular
+key main primary secondary basic simple complex critical essential crucial
+notable typical special useful practical fundamental central""".split()
+# Words that add nothing to what a subject names.
+GRAMMATICAL = """the a an this that these those its their his her our your my
+of in on at for to from with by within inside outside
+such same other another each every both all any some
+cell cells organism organisms system systems""".split()
+# Page design, never subject matter.
+LAYOUT = (
+    r"(?iU)(?:\b(?:red|blue|green|yellow|orange|purple|black|white|grey|gray)\b.{0,80}\b(?:box|font|ink|heading|caption|margin|layout|printed|highlighted|sidebar)\b|"
+    r"\b(?:box|font|ink|heading|caption|margin|layout|printed|highlighted|sidebar)\b.{0,80}\b(?:red|blue|green|yellow|orange|purple|black|white|grey|gray)\b|"
+    r"\b(?:top|bottom|left|right)\s+(?:of\s+the\s+)?(?:page|margin|column)\b)"
+)
+# What each kind of knowledge is worth to a quiz.
+KNOWLEDGE_VALUE = {"process": 0.95, "cause_effect": 0.95, "principle": 0.93, "comparison": 0.92, "classification": 0.88, "definition": 0.85, "fact": 0.52, "example": 0.45}

@@ -183,11 +183,13 @@ grams AS (
   FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM pieces, range(1, 5) t(size) WHERE len(w) >= size)),
 f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
-candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
-cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+often AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE size > 1),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+lefts AS MATERIALIZED (SELECT c.*, x.f AS l FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.head),
 halves AS (
-  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+  SELECT c.lang, c.phrase, c.a, c.k, c.l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(c.l AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM lefts c JOIN often y ON y.lang = c.lang AND y.phrase = c.tail),
 best AS (SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (
   SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS within
