@@ -216,9 +216,18 @@ such same other another each every both all any some
 cell cells organism organisms system systems""".split()
 # Page design, never subject matter.
 LAYOUT = (
-    r"(?iU)(?:\b(?:red|blue|green|yellow|orange|purple|black|white|grey|gray)\b.{0,80}\b(?:box|font|ink|heading|caption|margin|layout|printed|highlighted|sidebar)\b|"
+    r"(?i)(?:\b(?:red|blue|green|yellow|orange|purple|black|white|grey|gray)\b.{0,80}\b(?:box|font|ink|heading|caption|margin|layout|printed|highlighted|sidebar)\b|"
     r"\b(?:box|font|ink|heading|caption|margin|layout|printed|highlighted|sidebar)\b.{0,80}\b(?:red|blue|green|yellow|orange|purple|black|white|grey|gray)\b|"
     r"\b(?:top|bottom|left|right)\s+(?:of\s+the\s+)?(?:page|margin|column)\b)"
 )
 # What each kind of knowledge is worth to a quiz.
 KNOWLEDGE_VALUE = {"process": 0.95, "cause_effect": 0.95, "principle": 0.93, "comparison": 0.92, "classification": 0.88, "definition": 0.85, "fact": 0.52, "example": 0.45}
+# What marks a sentence as an objective of the course, or as one that matters.
+OBJECTIVE = r"(?iU)\b(learning objectives?|you will be able to|by the end of|students? (?:should|must|will)(?: be able)? (?:be able to|explain|describe|distinguish|understand|know)|should be able to|preparing for an exam)\b|الهدف التعليمي|سوف تتعلم|في نهايه هذا"
+EMPHASIS = r"(?iU)\b(important|essential|key|fundamental|central|crucial|most frequently tested|remember that|note that|in summary|to summari[sz]e|most difficult|exam tip)\b|مهم|اساسي|جوهري|تذكر|باختصار"
+# The kind of knowledge that a claim of a kind makes of a fact or an example, first kind first.
+UPGRADES = {"mechanism": "process", "cause": "cause_effect", "effect": "cause_effect", "condition": "cause_effect", "contrast": "comparison", "category": "classification", "purpose": "principle"}
+# Words that widen the label of a concept without naming another.
+QUALIFIERS = """process processes mechanism mechanisms concept concepts principle principles method methods technique techniques operation operations
+procedure procedures stage stages phase phases step steps type types kind kinds form forms structure structures system systems model models theory
+overview introduction definition example examples""".split()

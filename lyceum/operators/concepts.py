@@ -23,15 +23,16 @@ EVIDENCE = 3
 
 
 def sentences(docs: DataFrame, lines_per_page: int = 4) -> DataFrame:
-    """doc_id, page, ord, sentence: sentences of texts (doc_id, text) by page, a page being so many lines.
+    """doc_id, page, ord, number, sentence: sentences of texts (doc_id, text) by page, a page being so many lines.
 
-    ord rises through a document; neighbours on a page differ by one. Null texts have none.
+    ord rises through a document, and neighbours on a page differ by one; number counts a document's sentences
+    from 0. Null texts have none.
     """
     lines = F.split("text", "\n")
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int")), lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, F.lit(lines_per_page)), "\n"))
-    paged = docs.filter("text is not null").select("doc_id", F.posexplode(pages).alias("page", "words"))
-    found = paged.select("doc_id", (F.col("page") + 1).alias("page"), F.posexplode(fn.sentences(F.col("words"))).alias("k", "sentence"))
-    return found.select("doc_id", "page", (F.col("page").cast("long") * 1_000_000 + F.col("k")).alias("ord"), "sentence")
+    placed = lambda page, p: F.transform(fn.sentences(page), lambda s, k: F.struct((p + 1).alias("page"), ((p + 1).cast("long") * 1_000_000 + k).alias("ord"), s.alias("sentence")))
+    found = docs.filter("text is not null").select("doc_id", F.posexplode(F.flatten(F.transform(pages, placed))).alias("number", "s"))
+    return found.select("doc_id", "s.page", "s.ord", "number", "s.sentence")
 
 
 def layout_detail(text: Column) -> Column:
@@ -39,78 +40,115 @@ def layout_detail(text: Column) -> Column:
     return text.rlike(words.LAYOUT)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern that stand outside groups."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        parts = [*parts, ""] if c == "|" and not depth else [*parts[:-1], parts[-1] + c]
+    return parts
+
+
+def _furnished(plain: Column) -> Column:
+    """Whether a normal text shows furniture of any kind: what begins at a word's start is looked for there alone."""
+    every = [a for _, p in words.FURNITURE for a in _alternatives(p)]
+    starts = "|".join(a[2:] for a in every if a.startswith(r"\b"))
+    return plain.rlike(rf"\b(?:{starts})") | reduce(lambda a, b: a | b, [plain.rlike(a) for a in every if not a.startswith(r"\b")])
+
+
 def teaching_sentences(rows: DataFrame) -> DataFrame:
     """Of rows (sentence) those that assert something that can be taught, with content: its distinct content words.
 
     At least 25 characters and five content words, no heading, furniture or page design. Null sentences go.
     """
     raw = "|".join(f"(?:{p})" for _, p in words.RAW_FURNITURE)
-    plain = "|".join(f"(?:{p})" for _, p in words.FURNITURE)
-    rows = rows.filter((F.length("sentence") >= 25) & ~layout_detail(F.col("sentence")) & ~F.col("sentence").rlike(raw))
-    rows = rows.filter(~fn.normal(F.col("sentence"), strip_marks=False).rlike(plain))
-    rows = rows.withColumn("content", F.array_distinct(fn.content_tokens(F.col("sentence")))).filter(F.size("content") >= 5)
-    return rows.filter(~fn.heading_like(F.col("sentence")))
+    long = rows.filter((F.length("sentence") >= 25) & ~layout_detail(F.col("sentence")) & ~F.col("sentence").rlike(raw))
+    long = long.filter(~_furnished(fn.normal(F.col("sentence"), strip_marks=False)))
+    # The filter stands inside a generator, as Spark would work out the content twice for one behind it.
+    full = F.filter(F.array(F.array_distinct(fn.content_tokens(F.col("sentence")))), lambda x: F.size(x) >= 5)
+    rows = long.select("*", F.explode(full).alias("content"))
+    # A heading has an open end, a number or a name in front, or capitals only: what has none of these needs no closer look.
+    s = F.trim("sentence")
+    maybe = ~s.rlike(r"[.!?؟:;]$") | s.rlike(r"^\d") | s.rlike(words.NAMED_HEADING) | s.rlike(r"^[^a-z]+$")
+    return rows.filter(~F.when(maybe, fn.heading_like(F.col("sentence"))).otherwise(False))
 
 
 def _bare(word: Column) -> Column:
     return F.regexp_replace(word, r"(?U)[^\w؀-ۿ]", "")
 
 
+#: A word in the shape of a verb in -s or -ed: Latin letters, small first, four at least.
+_VERB = r"[a-z][A-Za-z]{2,}(?:[sS]|[eE][dD])"
+
+
 def finite_verb(word: Column) -> Column:
-    """Whether a word has the shape of a verb in -s or -ed: Latin letters, small first, four at least."""
-    return _bare(word).rlike(r"^[a-z][A-Za-z]{3,}$") & (_bare(word).rlike("(?i)s$") | _bare(word).rlike("(?i)^.{3,}ed$"))
+    """Whether a word has the shape of a verb."""
+    return _bare(word).rlike(f"^{_VERB}$")
+
+
+def _predicate_after(text: Column) -> Column:
+    """Whether the first word of a text that decides it, a mark or a word that opens a clause apart, is a predicate."""
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}_\s,;:.]", "")
+    either = lambda values: "|".join(values)
+    decides = rf"(?:^|\s)(?:\S*[,;:.]\S*|(?i:{either(words.SUBORDINATORS)})(?=\s|$)|((?i:{either(words.PREDICATE_STOP)})|{_VERB})(?=\s|$))"
+    return F.regexp_extract(plain, decides, 1) != ""
 
 
-def _classed(text: Column) -> Column:
-    """The words of a text, each with what it may be in a clause.
+def _span(raw: Column, after: Column) -> Column:
+    """A span: its words, each with what it may be in a clause, the word behind it, and whether a predicate follows there.
 
-    next: what it says of whether a predicate follows: 1 yes, 2 no, 0 nothing.
+    next: what a word says of whether a predicate follows: 1 yes, 2 no, 0 nothing.
     """
 
-    def one(w: Column) -> Column:
-        low = F.lower(_bare(w))
-        stop, sub, verb = low.isin(words.PREDICATE_STOP), low.isin(words.SUBORDINATORS), finite_verb(w)
-        follows = F.when(w.rlike("[,;:.]"), "2").when(low == "", "0").when(sub, "2").when(stop | verb, "1").otherwise("0")
-        shape = F.regexp_replace(w, r"(?U)[^\w]", "").rlike(words.NOUN_ENDING)
-        return F.struct(w.alias("w"), stop.alias("stop"), sub.alias("sub"), verb.alias("verb"), w.rlike(r"^\p{Lu}").alias("upper"), F.lower(w).isin(words.COMPLEMENT_OPENERS).alias("opens"), shape.alias("noun"), follows.alias("next"))
+    def bare(w: Column) -> Column:
+        b = _bare(w)
+        return F.struct(w.alias("w"), b.alias("b"), F.lower(b).alias("low"))
 
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), one)
+    def classed(x: Column) -> Column:
+        stop, sub, verb = x["low"].isin(words.PREDICATE_STOP), x["low"].isin(words.SUBORDINATORS), x["b"].rlike(f"^{_VERB}$")
+        follows = F.when(x["low"] == "", "0").when(sub, "2").when(stop | verb, "1").otherwise("0")
+        return F.struct(x["w"].alias("w"), stop.alias("stop"), sub.alias("sub"), verb.alias("verb"), x["b"].rlike(words.NOUN_ENDING).alias("noun"), follows.alias("next"))
+
+    ours = F.transform(F.transform(F.filter(F.split(raw, r"\s+"), lambda w: w != ""), bare), classed)
+    return F.struct(ours.alias("words"), F.regexp_extract(after, r"^\s*(\S*)", 1).alias("behind"), _predicate_after(after).alias("goes_on"))
 
 
 def _until_clause(span: Column) -> Column:
-    """A span (words, after) up to the first word that opens a clause, unless a predicate comes first; nothing comes after it then."""
+    """A span up to the first word that opens a clause, unless a predicate comes first; nothing comes after it then."""
     n = F.size(span["words"])
     ends = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: (i <= n) & (F.get(span["words"], i - 1)["stop"] | F.get(span["words"], i - 1)["sub"]))
     at = F.get(ends, F.lit(0))
-    cut = at.isNotNull() & ~F.get(span["words"], at - 1)["stop"]
-    return F.struct(F.when(cut, F.slice(span["words"], F.lit(1), at - 1)).otherwise(span["words"]).alias("words"), F.when(cut, F.slice(span["after"], 1, 0)).otherwise(span["after"]).alias("after"))
+    cut = F.coalesce(~F.get(span["words"], at - 1)["stop"], F.lit(False))
+    kept = F.when(cut, F.slice(span["words"], F.lit(1), at - 1)).otherwise(span["words"])
+    return F.struct(kept.alias("words"), F.when(cut, "").otherwise(span["behind"]).alias("behind"), (span["goes_on"] & ~cut).alias("goes_on"))
 
 
-def _whole(span: Column) -> Column:
-    """A span with all its words in a row, and what each says of a predicate as a string."""
-    both = F.concat(span["words"], span["after"])
-    return F.struct(F.size(span["words"]).alias("n"), both.alias("all"), F.array_join(F.transform(both, lambda w: w["next"]), "").alias("codes"))
+def _coded(span: Column) -> Column:
+    return F.struct(span["words"].alias("words"), span["behind"].alias("behind"), span["goes_on"].alias("goes_on"), F.array_join(F.transform(span["words"], lambda w: w["next"]), "").alias("codes"))
 
 
 def _name(span: Column) -> Column:
-    """The name that a span (n, all, codes) begins with: up to its predicate, without circumstances and stranded adverbs.
+    """The name that a span begins with: up to its predicate, without circumstances and stranded adverbs.
 
     A word ends the name if it is a known predicate or opens a clause, or, behind the first word, if it has the
     shape of a verb and what comes next shows that it is one: a complement, nothing, or words of which none is a
     predicate. A plain word between a verb-shaped one and a complement, or between two capitalised ones, is a verb too.
     """
+    upper = lambda w: w.rlike(r"^\p{Lu}")
 
     def ends(i: Column) -> Column:
-        w, after, before = F.get(span["all"], i), F.get(span["all"], i + 1), F.get(span["all"], i - 1)
-        more = after.isNotNull()
-        opens = more & after["opens"]
-        predicate = F.regexp_extract(F.substr(span["codes"], i + 2), "^0*(.)", 1) == "1"
-        plain = ~w["verb"] & ~w["upper"] & ((opens & before["verb"]) | (before["upper"] & more & after["upper"]))
+        w, before = F.get(span["words"], i), F.get(span["words"], i - 1)
+        after = F.coalesce(F.get(span["words"], i + 1)["w"], span["behind"])
+        more, opens = after != "", F.lower(after).isin(words.COMPLEMENT_OPENERS)
+        first = F.regexp_extract(F.substr(span["codes"], i + 2), "^0*(.)", 1)
+        predicate = F.when(first == "", span["goes_on"]).otherwise(first == "1")
+        plain = ~w["verb"] & ((opens & before["verb"]) | (upper(before["w"]) & upper(after))) & ~upper(w["w"])
         verb = w["verb"] & (opens | (~more & ~w["noun"]) | (more & ~predicate))
         return F.coalesce(w["stop"] | ((i > 0) & (w["sub"] | plain | verb)), F.lit(False))
 
-    at = F.get(F.filter(F.sequence(F.lit(0), F.greatest(span["n"], F.lit(1)) - 1), ends), F.lit(0))
-    return F.array_join(F.transform(F.slice(span["all"], F.lit(1), F.coalesce(at, span["n"])), lambda w: w["w"]), " ")
+    n = F.size(span["words"])
+    at = F.get(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), ends), F.lit(0))
+    return F.array_join(F.transform(F.slice(span["words"], F.lit(1), F.coalesce(at, n)), lambda w: w["w"]), " ")
 
 
 def _tidy(name: Column) -> Column:
@@ -174,10 +212,11 @@ def with_terms(rows: DataFrame) -> DataFrame:
     head = rf"(?sU)^(?:The\s+|A\s+|An\s+)?({words.SUBJECT})\b(.*)$"
     fallback = F.struct(F.regexp_extract("__opened", head, 1).alias("raw"), F.regexp_extract("__opened", head, 2).alias("after"))
     rows = rows.withColumn("__s", s).withColumn("__opened", opened)
-    rows = rows.withColumn("__spans", F.concat(F.array(fallback), F.when(F.col("__s").rlike(r"^[A-Z؀-ۿ]"), _defined(F.col("__s"))).otherwise(F.slice(F.array(fallback), 1, 0))))
+    defines = F.col("__s").rlike(r"^[A-Z؀-ۿ]") & F.col("__s").rlike(r"\s(?:is|are)\s+(?:defined|the|a|an|called|known)|\srefers?\s+to|هو|هي")
+    rows = rows.withColumn("__spans", F.concat(F.array(fallback), F.when(defines, _defined(F.col("__s"))).otherwise(F.slice(F.array(fallback), 1, 0))))
     bare = lambda x: F.trim(F.regexp_replace(F.trim(x), words.LEADING_DETERMINER, ""))
-    rows = rows.withColumn("__spans", F.transform("__spans", lambda x: F.struct(_classed(bare(x["raw"])).alias("words"), _classed(x["after"]).alias("after"))))
-    rows = rows.withColumn("__spans", F.transform(F.transform("__spans", _until_clause), _whole))
+    rows = rows.withColumn("__spans", F.transform("__spans", lambda x: _span(bare(x["raw"]), x["after"])))
+    rows = rows.withColumn("__spans", F.transform(F.transform("__spans", _until_clause), _coded))
     # The first name is the subject's, the others those of definitions.
     rows = rows.withColumn("__names", F.transform(F.transform("__spans", lambda x: _tidy(_name(x))), _weighed))
     rows = rows.withColumns({"subject": F.get("__names", F.lit(0))["term"], "__good": F.transform("__names", lambda x: F.struct(x["term"].alias("term"), _acceptable(x).alias("ok")))})
@@ -205,11 +244,14 @@ def _name_key(name: Column) -> Column:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """doc_id, key, name, first, types, evidence: names that terms of rows (doc_id, page, ord, sentence, terms) have, by their normal form."""
+    """doc_id, key, name, first, types, evidence: names that terms of rows (doc_id, page, ord, sentence, terms) have, by their normal form.
+
+    evidence: array of (ord, place, page, text), text being a hash, so that no table of names carries sentences.
+    """
     named = rows.select("doc_id", "page", "ord", "sentence", F.posexplode("terms").alias("place", "t")).select("doc_id", "page", "ord", "place", "sentence", "t.*")
     named = named.withColumn("key", fn.normal(F.col("term"))).filter(F.length("key") >= 3)
     named = named.filter(~fn.generic_label(F.col("term")) & ~layout_detail(F.col("term")) & (F.size(fn.furniture(F.col("term"))) == 0))
-    proof = F.struct("ord", "place", "page", F.col("sentence").alias("text"))
+    proof = F.struct("ord", "place", "page", F.xxhash64("sentence").alias("text"))
     return named.groupBy("doc_id", "key").agg(
         F.min_by("term", F.struct("ord", "place")).alias("name"), F.min(F.struct("ord", "place")).alias("first"),
         F.collect_list("type").alias("types"), F.slice(F.array_sort(F.collect_list(proof)), 1, EVIDENCE).alias("evidence"),
@@ -269,27 +311,29 @@ def declared_aliases(rows: DataFrame) -> DataFrame:
     return found.filter("full <> '' and alias <> '' and full <> alias").distinct()
 
 
-def alias_targets(entries: DataFrame, declared: DataFrame, steps: int = 4) -> DataFrame:
+def alias_targets(entries: DataFrame, declared: DataFrame, rows: DataFrame, steps: int = 4) -> DataFrame:
     """doc_id, key, target: names (doc_id, key, name, first, evidence) that are aliases of another name of the document.
 
     Declared aliases (doc_id, full, alias) count if both are names. A name that another begins with is an alias of
     the shortest such, if the words behind are containers (`method`, `model`) or stand in three names of the
-    document at least, and no evidence defines the shorter one itself. Chains are followed for `steps` steps.
+    document at least, and no sentence (doc_id, ord, sentence) of its evidence defines the shorter one itself.
+    Chains are followed for `steps` steps.
     """
     said = entries.select("doc_id", F.col("key").alias("alias")).join(declared, ["doc_id", "alias"]).join(entries.select("doc_id", F.col("key").alias("full")), ["doc_id", "full"])
     said = said.groupBy("doc_id", F.col("alias").alias("key")).agg(F.max("full").alias("target"))
-    split = entries.select("doc_id", "key", "name", "first", "evidence", fn.content_tokens(F.col("key")).alias("tokens")).filter(F.size("tokens") > 0)
+    split = entries.select("doc_id", "key", "first", fn.content_tokens(F.col("key")).alias("tokens")).filter(F.size("tokens") > 0)
     counted = split.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")).filter("n >= 3")
     common = counted.groupBy("doc_id").agg(F.collect_set("token").alias("common"))
     heads = split.select("doc_id", F.col("key").alias("long"), F.col("first").alias("long_first"), "tokens").withColumn("width", F.explode(F.sequence(F.lit(1), F.size("tokens")))).filter(F.col("width") < F.size("tokens"))
     heads = heads.select("doc_id", "long", "long_first", F.slice("tokens", F.lit(1), F.col("width")).alias("tokens"), F.slice("tokens", F.col("width") + 1, F.size("tokens")).alias("extra"))
     heads = heads.join(common, "doc_id", "left")
     generic = F.forall("extra", lambda x: x.isin(words.CONTAINERS)) | F.forall("extra", lambda x: F.coalesce(F.array_contains("common", x), F.lit(False)))
+    met = stored(split.select("doc_id", "key", "tokens").join(heads.filter(generic).select("doc_id", "long", "long_first", "tokens"), ["doc_id", "tokens"]).filter("key <> long").select("doc_id", "key", "long", "long_first"), "longer-names")
     own = F.concat(F.lit(r"(?iU)\b(?:the\s+|a\s+|an\s+)?\Q"), F.trim("name"), F.lit(r"\E\b\s+(?:is|are)\s+(?:defined\s+as|the\s|a\s|an\s)"))
-    short = split.filter(~F.exists("evidence", lambda e: F.rlike(e["text"], own))).select("doc_id", "key", "tokens")
-    met = short.join(heads.filter(generic), ["doc_id", "tokens"]).filter("key <> long")
-    implied = met.groupBy("doc_id", "key").agg(F.min(F.struct(F.length("long").alias("n"), "long_first", "long"))["long"].alias("target"))
-    first = said.union(implied.join(said, ["doc_id", "key"], "left_anti"))
+    asked = met.select("doc_id", "key").distinct().join(entries.select("doc_id", "key", "name", F.explode("evidence").alias("e")), ["doc_id", "key"]).select("doc_id", "key", "name", "e.ord")
+    defined = asked.join(rows.select("doc_id", "ord", "sentence"), ["doc_id", "ord"]).filter(F.rlike("sentence", own)).select("doc_id", "key").distinct()
+    implied = met.join(defined, ["doc_id", "key"], "left_anti").groupBy("doc_id", "key").agg(F.min(F.struct(F.length("long").alias("n"), "long_first", "long"))["long"].alias("target"))
+    first = stored(said.union(implied.join(said, ["doc_id", "key"], "left_anti")), "aliases")
     found = first
     for _ in range(steps):
         onward = first.select("doc_id", F.col("key").alias("target"), F.col("target").alias("further"))
@@ -309,7 +353,7 @@ def _supported(entries: DataFrame, rows: DataFrame) -> DataFrame:
     half = F.lower(F.substring_index("sentence", ",", 1))
     compares = F.col("sentence").rlike(words.CORRELATIVE)
     direct = silent.filter(~compares & (F.col("subject") != "")).withColumn("stated", F.array_distinct(fn.content_tokens(F.col("subject"))))
-    proof = F.struct("ord", F.lit(0).alias("place"), "page", F.col("sentence").alias("text")).alias("proof")
+    proof = F.struct("ord", F.lit(0).alias("place"), "page", F.xxhash64("sentence").alias("text")).alias("proof")
     met = direct.withColumn("k", key(F.col("stated"))).join(names.withColumn("k", key(F.col("tokens"))), ["doc_id", "k"]).filter(F.size(F.array_except("tokens", "stated")) == 0).select("doc_id", "key", proof)
     inside = silent.filter(compares).withColumn("half", half).join(names, "doc_id").filter(F.contains("half", F.lower("name"))).select("doc_id", "key", proof)
     more = met.union(inside).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("proof")).alias("more"))
@@ -318,20 +362,31 @@ def _supported(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("evidence", F.when(F.col("more").isNull(), F.col("evidence")).otherwise(F.aggregate(F.coalesce("more", F.slice("evidence", 1, 0)), F.col("evidence"), add))).drop("more")
 
 
-def concepts(rows: DataFrame) -> DataFrame:
+def taught(rows: DataFrame) -> DataFrame:
+    """The teaching sentences among rows, with content, subject and terms, written as a table."""
+    return stored(with_terms(teaching_sentences(rows)), "taught")
+
+
+def concepts(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, concept, key, type, types, pages, evidence: what the sentences (doc_id, page, ord, sentence) of documents teach.
 
     Teaching sentences name terms; terms of one normal form are a concept with up to three sentences as evidence.
     Names that only say something about another fold into it, sentences that name nothing support the name that
     they are about, and aliases fold last. type: of the types seen, that of the highest worth, then the most
     frequent, then the last by name. A document without teaching sentences has no concepts; rows with a null
-    sentence count for nothing. What several steps read is written as a table of the shared folder first.
+    sentence count for nothing. known: taught(rows), if it is there already. What several steps read is written as
+    a table of the shared folder first, sentences once. evidence: array of (ord, place, page, text), text being a
+    hash of the sentence at ord.
     """
-    taught = stored(with_terms(teaching_sentences(rows)).drop("content"), "taught")
-    entries = stored(candidates(taught), "candidates")
+    known = taught(rows) if known is None else known
+    entries = stored(candidates(known), "candidates")
     entries = stored(_folded(entries, prefix_targets(entries)), "prefixes")
-    entries = stored(_supported(entries, taught), "supported")
-    entries = _folded(entries, alias_targets(entries, declared_aliases(rows)))
-    worth = F.create_map(*[F.lit(x) for pair in words.KNOWLEDGE_VALUE.items() for x in pair])
-    kinds = F.transform(F.array_distinct("types"), lambda k: F.struct(F.element_at(worth, k).alias("worth"), F.size(F.filter("types", lambda t: t == k)).alias("n"), k.alias("type")))
+    entries = stored(_supported(entries, known), "supported")
+    entries = _folded(entries, alias_targets(entries, declared_aliases(rows), known))
+    kinds = F.transform(F.array_distinct("types"), lambda k: F.struct(worth(k).alias("worth"), F.size(F.filter("types", lambda t: t == k)).alias("n"), k.alias("type")))
     return entries.select("doc_id", F.col("name").alias("concept"), "key", F.array_max(kinds)["type"].alias("type"), "types", F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["page"]))).alias("pages"), "evidence")
+
+
+def worth(kind: Column) -> Column:
+    """What a kind of knowledge is worth to a quiz."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in words.KNOWLEDGE_VALUE.items() for x in pair]), kind)

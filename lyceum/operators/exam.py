@@ -109,13 +109,35 @@ def importance(rows: DataFrame) -> DataFrame:
 
 
 def anchored(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, concept, importance) rescaled so that the middle of the 3 to 8 leading concepts stands at 0.78; never lowered."""
+    """rows (doc_id, concept, importance) rescaled so that the middle of the 3 to 8 leading concepts stands at 0.78; never lowered.
+
+    Where rows have tokens and type, rescaling lifts no concept that isn't explained, and no example, over its ceiling.
+    """
     one = Window.partitionBy("doc_id")
     ranked = rows.withColumn("__k", F.row_number().over(one.orderBy(F.desc("importance"), "concept"))).withColumn("__n", F.count("*").over(one))
     leading = F.least(F.col("__n"), F.greatest(F.lit(3), F.least(F.lit(8), F.col("__n"))))
     anchor = F.max(F.when(F.col("__k") == F.floor(leading / 2) + 1, F.col("importance"))).over(one)
     scale = F.when(anchor > 0, F.greatest(F.lit(1.0), 0.78 / anchor)).otherwise(1.0)
-    return ranked.withColumn("importance", F.bround(clamp(F.col("importance") * scale), 3)).drop("__k", "__n")
+    ranked = ranked.withColumn("__scale", scale).withColumn("__new", clamp(F.col("importance") * F.col("__scale")))
+    if {"tokens", "type"} <= set(rows.columns):
+        ranked = ranked.withColumn("__new", _under_ceilings(F.col("__new")))
+    new = F.when(F.col("__scale") > 1, F.bround("__new", 3)).otherwise(F.bround("importance", 3))
+    return ranked.withColumn("importance", new).drop("__k", "__n", "__scale", "__new")
+
+
+def _under_ceilings(value: Column) -> Column:
+    explained = F.when(F.col("tokens") < 5, F.least(value, F.lit(UNEXPLAINED))).otherwise(value)
+    return F.when(F.col("type") == "example", F.least(explained, F.lit(EXAMPLE))).otherwise(explained)
+
+
+def raised(rows: DataFrame) -> DataFrame:
+    """Concepts with degree (central()), their importance reckoned again where they have relations; never lowered.
+
+    The shares are those of a document with structure to show, whatever its size; ceilings hold as before.
+    """
+    fixed = {n: round(w * (1 - STRUCTURAL_SHARE), 4) for n, w in INTRINSIC.items()} | {n: round(w * STRUCTURAL_SHARE, 4) for n, w in STRUCTURAL.items()}
+    new = F.bround(clamp(F.greatest("importance", _under_ceilings(weighted(fixed)))), 3)
+    return rows.withColumn("importance", F.when(F.col("degree") > 0, new).otherwise(F.col("importance")))
 
 
 def leading_concepts(rows: DataFrame, ratio: float = 0.62) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum.operators import concepts as ops
+from lyceum.operators import study_map
 from lyceum.sources import tables as t
 from lyceum.sources.shared import stored
 
@@ -32,23 +33,42 @@ def i16_concepts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "concept", "type", F.size("types").alias("mentions"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join(F.transform("evidence", lambda e: e["ord"].cast("string")), ",").alias("evidence"))
 
 
-def _names(spark: SparkSession, d: str) -> DataFrame:
-    return stored(ops.candidates(ops.with_terms(ops.teaching_sentences(_sentences(spark, d)))), "names")
-
-
 def g3_alias_targets(spark: SparkSession, d: str) -> DataFrame:
-    return ops.alias_targets(_names(spark, d), ops.declared_aliases(_sentences(spark, d)))
+    rows = _sentences(spark, d)
+    known = ops.taught(rows)
+    return ops.alias_targets(stored(ops.candidates(known), "names"), ops.declared_aliases(rows), known)
 
 
 def g4_prefix_targets(spark: SparkSession, d: str) -> DataFrame:
-    return ops.prefix_targets(_names(spark, d))
+    return ops.prefix_targets(stored(ops.candidates(ops.with_terms(ops.teaching_sentences(_sentences(spark, d)))), "names"))
+
+
+def _map(spark: SparkSession, d: str) -> study_map.StudyMap:
+    return study_map.study_map(_sentences(spark, d))
+
+
+def i18_study_map(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of the documents with their signals and importance."""
+    signals = ["depth", "centrality", "richness", "emphasis", "spread"]
+    return _map(spark, d).concepts.select("doc_id", "concept", "type", "tokens", *[F.round(c, 6).alias(c) for c in signals], "degree", "importance", "value")
+
+
+def e12_leading_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    return study_map.leading(_map(spark, d).concepts).select("doc_id", "concept", "type", "importance")
+
+
+def i17_document_relations(spark: SparkSession, d: str) -> DataFrame:
+    return _map(spark, d).relations
 
 
 QUERIES = {
+    "e12_leading_of_documents": (e12_leading_of_documents, None),
     "g3_alias_targets": (g3_alias_targets, None),
     "g4_prefix_targets": (g4_prefix_targets, None),
     "i10_teaching_sentences": (i10_teaching_sentences, None),
     "i11_subjects": (i11_subjects, None),
     "i15_candidate_terms": (i15_candidate_terms, None),
     "i16_concepts": (i16_concepts, None),
+    "i17_document_relations": (i17_document_relations, None),
+    "i18_study_map": (i18_study_map, None),
 }

@@ -139,7 +139,8 @@ QUERIES = {
     "e11_anchored_importance": (e11_anchored_importance, _CONCEPTS + """,
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, concept) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM scored),
 a AS (SELECT *, max(importance) FILTER (p = least(n, greatest(3, least(8, n))) // 2 + 1) OVER (PARTITION BY doc_id) AS anchor FROM k)
-SELECT doc_id, concept, round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, importance * CASE WHEN anchor > 0 THEN greatest(1.0::DOUBLE, 0.78::DOUBLE / anchor) ELSE 1.0::DOUBLE END)), 3) AS importance FROM a"""),
+SELECT doc_id, concept, CASE WHEN anchor > 0 AND anchor < 0.78::DOUBLE THEN round_even(least(greatest(0.0::DOUBLE, least(1.0::DOUBLE, importance * (0.78::DOUBLE / anchor))),
+  CASE WHEN tokens < 5 THEN {unexplained}::DOUBLE ELSE 1.0::DOUBLE END, CASE WHEN type = 'example' THEN {example}::DOUBLE ELSE 1.0::DOUBLE END), 3) ELSE importance END AS importance FROM a""".replace("{unexplained}", str(ops.UNEXPLAINED)).replace("{example}", str(ops.EXAMPLE))),
     "e12_leading_concepts": (e12_leading_concepts, _CONCEPTS + """,
 f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n0, count(*) FILTER (developed) OVER (PARTITION BY doc_id) AS d0 FROM scored) WHERE developed OR n0 <= 6 OR d0 < 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, value DESC, lower(concept)) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM f),
