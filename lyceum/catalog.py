@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.plans import activity, concepts, exam, knowledge, records, relational, streams, study, text
+from lyceum.plans import activity, candidates, concepts, exam, knowledge, records, relational, streams, study, text
 
-PACKS = (relational, activity, study, text, exam, streams, records, knowledge, concepts)
+PACKS = (relational, activity, study, text, exam, streams, records, knowledge, concepts, candidates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

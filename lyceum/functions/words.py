@@ -231,3 +231,41 @@ UPGRADES = {"mechanism": "process", "cause": "cause_effect", "effect": "cause_ef
 QUALIFIERS = """process processes mechanism mechanisms concept concepts principle principles method methods technique techniques operation operations
 procedure procedures stage stages phase phases step steps type types kind kinds form forms structure structures system systems model models theory
 overview introduction definition example examples""".split()
+
+# Names of the question kinds, and of their answers, as writers give them.
+KINDS = {
+    "mcq": ["mcq", "multiple-choice", "multiple choice", "multiple_choice"],
+    "true-false": ["true-false", "true_false", "truefalse", "true or false", "trueorfalse"],
+    "fill-blank": ["fill-blank", "fill_blank", "fillblank", "fill in the blank", "fill-in-the-blank"],
+    "short-answer": ["short-answer", "short_answer", "shortanswer", "short answer"],
+}
+TRUE_WORDS = ["true", "t", "yes", "correct", "right", "صح", "صحيح", "نعم"]
+FALSE_WORDS = ["false", "f", "no", "incorrect", "wrong", "خطا", "خطأ", "لا"]
+# Prompts that speak of the source; answers too general for a blank; kinds of knowledge that a blank can ask for.
+SOURCE_REFERENCE = r"(?i)\b(according to|in the source|the document|the text|the passage|the pdf|on page|mentioned|discussed)\b"
+GENERIC_BLANKS = ["thing", "things", "process", "system", "method", "concept", "information", "example", "result", "important", "document", "page", "section", "it", "they"]
+BLANK_KNOWLEDGE = ["definition", "principle", "process", "classification"]
+# Linking verbs that a paraphrase may add.
+CONNECTIVES = ["needs", "need", "needed", "helps", "help", "allows", "allow", "makes", "make", "lets", "gives", "provides", "keeps", "takes", "happens", "occurs", "means"]
+# What the prompt of an application asks for; reasons that mean that a document doesn't back a question.
+APPLICATION_TASKS = [
+    "what would happen", "how would", "predict", "which outcome", "likely outcome", "most likely", "which result", "demonstrate", "demonstrates", "which example", "best illustrates", "calculate",
+    "which action", "best course", "no longer", "were unable", "ماذا يحدث لو", "كيف سيتغير", "توقع", "اي نتيجه", "النتيجه الاكثر احتمالا", "يطبق", "اي مثال",
+]
+UNSUPPORTED = [
+    "not part of this quiz plan", "outside the concept's", "does not match the planned evidence", "not verbatim in the cited page text",
+    "shares no content", "not supported by the cited evidence", "is not supported by the evidence",
+]
+# Surface faults of finished questions.
+CUT_OFF = (
+    r"(?i)\b(?:the|a|an|of|to|in|on|for|with|from|by|as|at|into|and|or|but|that|which|is|are|was|were|be|been|its|their|those|through|during|before|after|between|within|along|than|such|both|either|neither|"
+    r"decides?|determines?|selects?|chooses?|produces?|causes?|requires?|allows?|prevents?|affects?|includes?|contains?|uses?|provided)\s*$"
+)
+DOUBLE_ARTICLE = r"(?i)\b(?:the|a|an)\s+(?:the|a|an)\s+"
+CONTRAST_TAIL = r"(?i),\s+(?:while|whereas|but|although|though|unlike)\s+"
+META_SUBJECT = r"(?i)\b(?:page|copyright|isbn|publisher|chapter\s+\d|figure\s+\d|table\s+\d|students?\s+(?:find|often|frequently|struggle)|header|footer)\b"
+WORDING_GAME = r"(?i)^(?:what\s+correctly\s+completes|which\s+statement\s+correctly\s+means|which\s+statement\s+best\s+completes|what\s+is\s+the\s+meaning\s+of)\b"
+NAMED_BAD_STEMS = ["what is response time?", "what is the cell?", "what is the net force?", "explain the role of the program."]
+AGENTIVE_STEM = r"(?i)\b(?:carry\s+out\s+its\s+function|works\s+by\s+means\s+of|by\s+what\s+mechanism\s+does)\b"
+PRINCIPLE_NAME = r"(?i)\b(?:law|rule|principle|theorem|axiom|postulate|equation|formula)\b"
+ANY_VERB = r"(?i)\b(?:is|are|was|were|has|have|had|does|do|did|can|will|must|may|[a-z]+(?:s|ed|es))\b"
