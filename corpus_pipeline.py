@@ -54,16 +54,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, position, n_tokens, ids, and the digests of the ids and of what they decode to, for each row.
 
-    position rises in the order of the rows in the files that docs was read from (part file, then row), which
-    is the training order; it is null if docs wasn't read from files. A null text has no ids; an empty table
-    gives an empty result; columns other than doc_id and text are not read.
+    position rises in the order of the rows in the files that docs was read from (task, then the files that it
+    wrote, then row), which is the training order, and is unique; it is null if docs wasn't read from files. A
+    null text has no ids; an empty table gives an empty result; columns other than doc_id and text are not read.
     """
     try:
         place = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
     except AnalysisException:
         place = docs.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("row"), "doc_id", "text")
-    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
-    return bpe_codec.round_trip(place.select("doc_id", "text", (F.coalesce(part, F.lit(0)) * (1 << 40) + F.col("row")).alias("position")), carry=["position"], with_ids=True)
+    number = lambda pattern: F.coalesce(F.regexp_extract("file", pattern, 1).try_cast("long"), F.lit(0))
+    position = number(r"^part-(\d+)") * (1 << 44) + number(r"-c(\d+)[.]") * (1 << 34) + F.col("row")
+    return bpe_codec.round_trip(place.select("doc_id", "text", position.alias("position")), carry=["position"], with_ids=True)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from lyceum.llm.shared import cut
 from lyceum.llm.word_arrays import between, filter_of, gram_hashes, hashes, mixed, slices, words
 
 #: Words of a shard; a longer text is a shard of its own.
-SHARD = 2_000_000
+SHARD = 1_500_000
 _CLASSES = between(b" \t", b".,;:!?\n\x0b\x0c\r")
 _WIDE = np.uint64(0xD1342543DE82EF95)
 

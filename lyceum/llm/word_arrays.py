@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SEPARATOR, _WORD, _BREAK = 0, 1, 2
 #: Bytes of text worked on at once, but for a longer text, which is worked on alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Multipliers of the hashes: odd, without structure.
 _STEP, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

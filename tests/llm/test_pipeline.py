@@ -115,3 +115,11 @@ def test_stages_on_awkward_documents(spark, tmp_path):
         assert len(out) == (docs.count() if data else 0)
         assert all((r["ids"] == []) == (r["n_tokens"] == 0) for r in out)
     assert {r["text"] for r in docs.sparkSession.read.parquet(str(tmp_path / "0-pii_redaction")).collect() if r["doc_id"] == 2} == {"mail [EMAIL] now and then for us all to see"}
+
+
+def test_positions_are_unique_and_in_order_whatever_the_files(spark, tmp_path):
+    docs = spark.range(0, 130).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/docs")
+    found = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/docs"), DATA).select("doc_id", "position").collect()
+    assert len({r["position"] for r in found}) == 130
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["position"])] == list(range(130))
