@@ -265,18 +265,22 @@ def _folded(entries: DataFrame, into: DataFrame) -> DataFrame:
     three, their evidence, in the order in which they first stood. A target that is folded itself stays as well,
     with what it was given, and hands that on if it came first.
     """
-    moved = into.filter("key <> target").select("doc_id", "key", "target")
-    targets = moved.select("doc_id", F.col("target").alias("key")).distinct()
+    moved = stored(into.filter("key <> target").select("doc_id", "key", "target"), "moved")
+    targets = moved.select("doc_id", F.col("target").alias("key"))
+    concerned = moved.select("doc_id", "key").union(targets).distinct()
+    # Most names are concerned by nothing and pass by; the rest are few.
+    few = stored(entries.join(concerned, ["doc_id", "key"], "left_semi").select(entries.columns), "folding")
     part = F.struct(F.col("first").alias("at"), F.col("types").alias("types"), F.col("evidence").alias("evidence"))
-    gone = moved.join(entries.select("doc_id", "key", "first", "types", "evidence"), ["doc_id", "key"])
+    gone = moved.join(few.select("doc_id", "key", "first", "types", "evidence"), ["doc_id", "key"])
     onward = gone.select("doc_id", F.col("key").alias("via"), F.col("first").alias("via_first"), "target").join(gone.select("doc_id", F.col("target").alias("via"), "first", "types", "evidence"), ["doc_id", "via"]).filter("first < via_first")
     given = gone.select("doc_id", F.col("target").alias("key"), part.alias("p")).union(onward.select("doc_id", F.col("target").alias("key"), F.struct(F.col("via_first").alias("at"), F.col("types"), F.col("evidence")).alias("p")))
     given = given.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("p")).alias("given"))
-    left = entries.join(moved.join(targets, ["doc_id", "key"], "left_anti").select("doc_id", "key"), ["doc_id", "key"], "left_anti").join(given, ["doc_id", "key"], "left")
+    left = few.join(moved.join(targets.distinct(), ["doc_id", "key"], "left_anti").select("doc_id", "key"), ["doc_id", "key"], "left_anti").join(given, ["doc_id", "key"], "left")
     some = F.coalesce("given", F.slice(F.array(part), 1, 0))
     # Own evidence stays as it is, repeats included; what is added differs from all that stands.
     more = F.aggregate(F.flatten(F.transform(some, lambda p: p["evidence"])), F.col("evidence"), lambda kept, p: F.when((F.size(kept) >= EVIDENCE) | F.exists(kept, lambda k: k["text"] == p["text"]), kept).otherwise(F.concat(kept, F.array(p))))
-    return left.select("doc_id", "key", "name", "first", F.concat("types", F.flatten(F.transform(some, lambda p: p["types"]))).alias("types"), more.alias("evidence"))
+    folded = left.select("doc_id", "key", "name", "first", F.concat("types", F.flatten(F.transform(some, lambda p: p["types"]))).alias("types"), more.alias("evidence"))
+    return entries.join(concerned, ["doc_id", "key"], "left_anti").select(folded.columns).union(folded)
 
 
 def prefix_targets(entries: DataFrame) -> DataFrame:
@@ -363,8 +367,8 @@ def _supported(entries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def taught(rows: DataFrame) -> DataFrame:
-    """The teaching sentences among rows, with content, subject and terms, written as a table."""
-    return stored(with_terms(teaching_sentences(rows)), "taught")
+    """The teaching sentences among rows, with subject and terms, written as a table."""
+    return stored(with_terms(teaching_sentences(rows).drop("content")), "taught")
 
 
 def concepts(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -27,10 +27,14 @@ class StudyMap:
     taught: DataFrame
 
 
+def _content() -> Column:
+    return F.array_distinct(fn.content_tokens(F.col("sentence")))
+
+
 def related(concepts: DataFrame, taught: DataFrame, k: int = FAR) -> DataFrame:
     """doc_id, key, page, ord, place: up to k teaching sentences that speak of a concept, best first.
 
-    concepts: (doc_id, key, concept); taught: (doc_id, page, ord, sentence, content). A sentence speaks of a concept
+    concepts: (doc_id, key, concept); taught: (doc_id, page, ord, sentence). A sentence speaks of a concept
     if it has 0.6 of the tokens of its name, or of those that aren't mere qualifiers (process, method); the name
     itself counts as all. Weight: that share, the length of the sentence up to 1 at thirty tokens, 0.8 for a
     definition, 0.2 for emphasis; ties by order. Of a sentence only tokens that some concept of the document has
@@ -41,7 +45,7 @@ def related(concepts: DataFrame, taught: DataFrame, k: int = FAR) -> DataFrame:
     named = stored(named.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("tokens"))), "named")
     all_of_doc = named.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("known"))
     weight = F.least(F.lit(1.0), F.size("content") / 30) + F.when(F.col("sentence").rlike("(?iU)" + words.KNOWLEDGE[0][1]), 0.8).otherwise(0.0) + F.when(F.col("sentence").rlike(words.EMPHASIS), 0.2).otherwise(0.0)
-    have = taught.join(all_of_doc, "doc_id").select("doc_id", "page", "ord", weight.alias("weight"), F.concat(F.lit(" "), fn.normal(F.col("sentence")), F.lit(" ")).alias("said"), F.explode(F.array_intersect("content", "known")).alias("token"))
+    have = taught.join(all_of_doc, "doc_id").withColumn("content", _content()).select("doc_id", "page", "ord", weight.alias("weight"), F.concat(F.lit(" "), fn.normal(F.col("sentence")), F.lit(" ")).alias("said"), F.explode(F.array_intersect("content", "known")).alias("token"))
     need = named.select("doc_id", "key", "plain", F.size("tokens").alias("need"), F.size("own").alias("need_own"), "own", F.explode("tokens").alias("token"))
     met = have.join(need, ["doc_id", "token"]).groupBy("doc_id", "key", "page", "ord").agg(
         F.count("*").alias("n"), F.count_if(F.array_contains("own", F.col("token"))).alias("n_own"), F.first("need").alias("need"), F.first("need_own").alias("need_own"),
@@ -71,9 +75,9 @@ def explanations(concepts: DataFrame, near: DataFrame, taught: DataFrame, rows:
     Such are, of the sentences near a concept (related()), those whose subject it is, and the sentence after one of
     them on the page, if it begins with a pronoun and isn't one itself.
     """
-    direct = near.join(taught.select("doc_id", "ord", "subject", F.size("content").alias("size")), ["doc_id", "ord"]).join(concepts.select("doc_id", "key", "concept"), ["doc_id", "key"])
-    direct = stored(direct.filter(states_claim(F.col("concept"), F.col("subject"))).select("doc_id", "key", "ord", "size"), "direct")
-    refers = rows.filter(F.col("sentence").rlike(words.ANAPHORIC)).select("doc_id", "ord", F.size(F.array_distinct(fn.content_tokens(F.col("sentence")))).alias("size"))
+    direct = near.join(taught.select("doc_id", "ord", "subject", "sentence"), ["doc_id", "ord"]).join(concepts.select("doc_id", "key", "concept"), ["doc_id", "key"])
+    direct = stored(direct.filter(states_claim(F.col("concept"), F.col("subject"))).select("doc_id", "key", "ord", F.size(_content()).alias("size")), "direct")
+    refers = rows.filter(F.col("sentence").rlike(words.ANAPHORIC)).select("doc_id", "ord", F.size(_content()).alias("size"))
     after = direct.select("doc_id", "key", (F.col("ord") + 1).alias("ord")).join(direct, ["doc_id", "key", "ord"], "left_anti").join(refers, ["doc_id", "ord"]).select("doc_id", "key", "ord", "size")
     return direct.union(after).groupBy("doc_id", "key").agg(F.coalesce(F.sum(F.when(F.col("size") >= 5, F.col("size"))), F.lit(0)).alias("explained"))
 
@@ -82,8 +86,8 @@ def references(concepts: DataFrame, taught: DataFrame) -> DataFrame:
     """doc_id, key, n: how many other concepts of a document have all content words of a concept's name in their evidence."""
     need = concepts.select("doc_id", "key", F.array_distinct(fn.content_tokens(F.col("concept"))).alias("tokens")).filter(F.size("tokens") > 0)
     known = need.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("known"))
-    proofs = concepts.select("doc_id", F.col("key").alias("other"), F.explode("evidence").alias("e")).select("doc_id", "other", "e.ord").join(taught.select("doc_id", "ord", "content"), ["doc_id", "ord"])
-    have = proofs.join(known, "doc_id").select("doc_id", "other", F.explode(F.array_intersect("content", "known")).alias("token")).distinct()
+    proofs = concepts.select("doc_id", F.col("key").alias("other"), F.explode("evidence").alias("e")).select("doc_id", "other", "e.ord").join(taught.select("doc_id", "ord", "sentence"), ["doc_id", "ord"])
+    have = proofs.join(known, "doc_id").select("doc_id", "other", F.explode(F.array_intersect(_content(), F.col("known"))).alias("token")).distinct()
     need = need.select("doc_id", "key", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
     met = need.join(have, ["doc_id", "token"]).filter("key <> other").groupBy("doc_id", "key", "other", "need").agg(F.count("*").alias("n")).filter("n = need")
     return met.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
@@ -117,7 +121,7 @@ def study_map(rows: DataFrame) -> StudyMap:
     wide = base.join(explained, ["doc_id", "key"], "left").join(marks, ["doc_id", "key"], "left").join(references(base, taught), ["doc_id", "key"], "left").join(claims, ["doc_id", "concept"], "left").join(silent, "doc_id", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     total = F.count("*").over(Window.partitionBy("doc_id"))
-    proof = base.join(silent, "doc_id", "left_semi").select("doc_id", "key", F.explode("evidence").alias("e")).select("doc_id", "key", "e.ord").join(taught.select("doc_id", "ord", F.size("content").alias("n_words")), ["doc_id", "ord"])
+    proof = base.join(silent, "doc_id", "left_semi").select("doc_id", "key", F.explode("evidence").alias("e")).select("doc_id", "key", "e.ord").join(taught.select("doc_id", "ord", F.size(_content()).alias("n_words")), ["doc_id", "ord"])
     wide = wide.join(proof.groupBy("doc_id", "key").agg(F.sum("n_words").alias("proof")), ["doc_id", "key"], "left")
     wide = wide.withColumn("tokens", F.when(F.col("explained").isNull() & F.col("silent").isNotNull(), zero("proof")).otherwise(zero("explained")).cast("long"))
     wide = wide.withColumn("concepts", total.cast("long"))
@@ -135,7 +139,7 @@ def study_map(rows: DataFrame) -> StudyMap:
     wide = wide.withColumn("type", F.when(F.col("type").isin("fact", "example"), F.coalesce(upgraded, F.col("type"))).otherwise(F.col("type")))
     wide = wide.withColumn("value", F.bround(found_concepts.worth(F.col("type")) * 0.5 + F.col("depth") * 0.5, 3))
     wide = stored(exam.anchored(wide), "anchored")
-    relations = stored(extracts.relations(wide.select("doc_id", "concept", "importance", fn.content_tokens(F.col("concept")).alias("tokens")), taught), "relations")
+    relations = stored(extracts.relations(wide.select("doc_id", "concept", "importance", fn.content_tokens(F.col("concept")).alias("tokens")), taught.withColumn("content", _content())), "relations")
     return StudyMap(exam.raised(exam.central(wide, relations)), relations, taught)
 
 
