@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyceum.functions import text as fn
+from lyceum.sources.shared import stored
 
 # Shares of the quality score.
 QUALITY = {"importance": 0.25, "grounding": 0.20, "conceptual": 0.15, "clarity": 0.10, "distractors": 0.10, "cognitive": 0.10, "novelty": 0.05, "difficulty": 0.05}
@@ -88,8 +89,9 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def gated(rows: DataFrame) -> DataFrame:
-    """rows with reasons: the gates that a question doesn't pass; none where it passes all."""
-    failed = F.array_compact(F.array(*[F.when(F.col(name) < least, F.format_string(f"{name} %.2f<{least:.2f}", F.col(name))) for name, least in GATES]))
+    """rows with reasons: the gates that a question doesn't pass; none where it passes all. A null score is 0."""
+    score = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    failed = F.array_compact(F.array(*[F.when(score(name) < least, F.format_string(f"{name} %.2f<{least:.2f}", score(name))) for name, least in GATES]))
     return rows.withColumn("reasons", F.array_join(failed, "; "))
 
 
@@ -362,3 +364,75 @@ def audit(questions: DataFrame) -> DataFrame:
         finding(F.length("prompt") > 600, "warning", "long prompt"),
     ))
     return rows.select("quiz_id", "id", F.explode(found).alias("f")).select("quiz_id", "id", "f.severity", "f.message")
+
+
+#: Rounds in which a short quiz is planned anew, and what a round adds to the seed.
+ROUNDS, SEED_STEP = 3, 7919
+
+
+def topped_up(pool: DataFrame, targets: DataFrame, write: Callable[[DataFrame], DataFrame], count: int, types: list[str], seed: int = 1) -> DataFrame:
+    """pool (quiz_id, id, concept, objective) with `round`, filled up from targets: 0 for what was there.
+
+    targets: as for plan(), with quiz_id for doc_id, and objective and important. A quiz takes part in a round while
+    its pool is short of `count` or lacks an important concept that has targets. Its targets are planned again with
+    another seed, without the objectives that the pool holds or an earlier round has tried; write turns planned
+    rows (quiz_id, id, place, type) into candidates that passed all gates (quiz_id, id, concept, objective). A
+    candidate whose objective the pool has is dropped; of several the smallest id stays. A quiz to which a round
+    adds nothing is done; at most three rounds. Each round's rows are a table of the shared folder, so a round
+    costs nothing twice. Rows of targets with a null quiz_id or objective count for nothing.
+    """
+    columns = ["quiz_id", "id", "concept", "objective"]
+    held = stored(pool.select(*columns).withColumn("round", F.lit(0)), "pool")
+    targets = stored(targets.filter("quiz_id is not null and objective is not null"), "targets")
+    tried = held.select("quiz_id", "objective").limit(0)
+    done = held.select("quiz_id").limit(0)
+    for number in range(1, ROUNDS + 1):
+        taken = held.groupBy("quiz_id").agg(F.count("*").alias("n"))
+        missing = targets.filter("important").join(held.select("quiz_id", "concept").distinct(), ["quiz_id", "concept"], "left_anti").select("quiz_id").distinct().withColumn("missing", F.lit(True))
+        short = targets.select("quiz_id").distinct().join(taken, "quiz_id", "left").join(missing, "quiz_id", "left").filter((F.coalesce("n", F.lit(0)) < count) | F.col("missing").isNotNull()).join(done, "quiz_id", "left_anti").select("quiz_id")
+        seen = held.select("quiz_id", "objective").union(tried).distinct()
+        free = targets.join(short, "quiz_id", "left_semi").join(seen, ["quiz_id", "objective"], "left_anti")
+        slots = plan(free.withColumnRenamed("quiz_id", "doc_id"), count, types, seed + SEED_STEP * number).withColumnRenamed("doc_id", "quiz_id")
+        slots = stored(slots, "slots")
+        planned = targets.join(slots.select("quiz_id", "id"), ["quiz_id", "id"]).select("quiz_id", "objective")
+        first = F.row_number().over(Window.partitionBy("quiz_id", "objective").orderBy("id"))
+        new = write(slots).select(*columns).join(held.select("quiz_id", "objective"), ["quiz_id", "objective"], "left_anti").withColumn("__k", first).filter("__k = 1")
+        new = stored(new.select(*columns, F.lit(number).alias("round")), "added")
+        if new.isEmpty():
+            break
+        done = stored(done.union(short.join(new.select("quiz_id").distinct(), "quiz_id", "left_anti")), "done")
+        tried = stored(tried.union(planned), "tried")
+        held = held.union(new)
+    return held
+
+
+class MaterialError(ValueError):
+    """A quiz can't be as long as asked: what the documents support is less. Nothing is made up to fill it."""
+
+    def __init__(self, quiz_id: object, requested: int, available: int, reason: str, funnel: dict, quizzes: int):
+        super().__init__(f"{quizzes} quizzes fall short; quiz {quiz_id}: {available} of {requested} questions ({reason}); {funnel}")
+        self.quiz_id, self.requested, self.available, self.reason, self.funnel, self.quizzes = quiz_id, requested, available, reason, funnel, quizzes
+
+
+def shortfalls(chosen: DataFrame, asked: DataFrame) -> DataFrame:
+    """quiz_id, requested, available, reason, and the counts of the funnel: quizzes (asked) with fewer questions (chosen) than asked for.
+
+    asked: quiz_id, requested, and counts planned, passed, rejected, pages_dropped, image_pages, provider_errors; null
+    counts are 0. The document alone is to blame (material) only where no provider failed before anything was
+    written (provider), no page was lost in cleaning (pages dropped), and none is an image (image pages).
+    """
+    counts = ("planned", "passed", "rejected", "pages_dropped", "image_pages", "provider_errors")
+    n = chosen.groupBy("quiz_id").agg(F.count("*").alias("available"))
+    rows = asked.join(n, "quiz_id", "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).filter(F.col("available") < F.col("requested"))
+    reason = F.when((F.col("provider_errors") > 0) & (F.col("available") == 0), "provider").when(F.col("pages_dropped") > 0, "pages dropped").when(F.col("image_pages") > 0, "image pages").otherwise("material")
+    return rows.select("quiz_id", "requested", "available", reason.alias("reason"), *counts)
+
+
+def in_full(chosen: DataFrame, asked: DataFrame) -> DataFrame:
+    """chosen, if every quiz has as many questions as asked for; else MaterialError with the funnel of the first that hasn't."""
+    short = stored(shortfalls(chosen, asked), "shortfalls")
+    first = short.orderBy("quiz_id").first()
+    if first is None:
+        return chosen
+    funnel = {k: v for k, v in first.asDict().items() if k not in ("quiz_id", "requested", "available", "reason")}
+    raise MaterialError(first["quiz_id"], first["requested"], first["available"], first["reason"], funnel, short.count())

@@ -1,4 +1,4 @@
-"""Questions made of parts: a quiz is a size, a concept a brand, and measures follow from numbers of the part."""
+"""Questions made of parts: a quiz is a run of a hundred parts, a concept a brand, and measures follow from numbers of the part."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("p_partkey")
     unit = lambda k, m: F.round((i * k % m) / float(m), 4)
     rows = p.select(
-        F.col("p_size").cast("long").alias("quiz_id"), i.alias("id"), _pick(SKILLS, i).alias("skill"), _pick(KINDS, i % 7).alias("kind"), F.col("p_brand").alias("concept"),
+        F.floor(i / 100).cast("long").alias("quiz_id"), i.alias("id"), _pick(SKILLS, i).alias("skill"), _pick(KINDS, i % 7).alias("kind"), F.col("p_brand").alias("concept"),
         F.concat(F.lit("How does "), F.col("p_name"), F.when(i % 5 == 0, F.lit(" and the thing")).otherwise(F.lit("")), F.when(i % 7 == 2, F.lit(" work ___ here")).otherwise(F.lit(" work")), F.lit("?")).alias("prompt"),
         F.col("p_type").alias("answer"), F.array(F.col("p_type"), F.concat(F.lit("not "), F.col("p_name")), F.when(i % 11 == 0, F.lit("banana")).otherwise(F.lit("a steel case")), F.concat(F.lit("option "), (i % 3).cast("string"))).alias("options"),
         F.array((i % 12).cast("int")).alias("pages"), (0.5 + unit(17, 101) / 2).alias("importance"), (0.6 + unit(29, 97) * 0.4).alias("grounding"), (0.5 + unit(13, 89) / 2).alias("conceptual"),
@@ -58,8 +58,8 @@ def _concepts(spark: SparkSession, d: str) -> DataFrame:
     p = t.load(spark, d, "part")
     i = F.col("p_partkey")
     unit = lambda k, m: F.round((i * k % m) / float(m), 4)
-    rows = p.select(F.col("p_size").cast("long").alias("doc_id"), F.concat("p_name", F.lit(" "), i.cast("string")).alias("concept"), unit(7, 53).alias("type_value"), unit(11, 59).alias("depth"), unit(13, 61).alias("centrality"), unit(17, 67).alias("richness"), unit(19, 71).alias("emphasis"), unit(23, 73).alias("prerequisite"), unit(29, 79).alias("spread"), _pick(["definition", "fact", "example", "process"], i).alias("type"), (i % 40).alias("tokens"), _pick(["high", "medium", "low"], i % 5).alias("emphasis_hint"), unit(31, 83).alias("value"), (i % 3 == 0).alias("developed"))
-    n = p.groupBy(F.col("p_size").cast("long").alias("doc_id")).agg(F.count("*").alias("concepts"))
+    rows = p.select(F.floor(i / 100).cast("long").alias("doc_id"), F.concat("p_name", F.lit(" "), i.cast("string")).alias("concept"), unit(7, 53).alias("type_value"), unit(11, 59).alias("depth"), unit(13, 61).alias("centrality"), unit(17, 67).alias("richness"), unit(19, 71).alias("emphasis"), unit(23, 73).alias("prerequisite"), unit(29, 79).alias("spread"), _pick(["definition", "fact", "example", "process"], i).alias("type"), (i % 40).alias("tokens"), _pick(["high", "medium", "low"], i % 5).alias("emphasis_hint"), unit(31, 83).alias("value"), (i % 3 == 0).alias("developed"))
+    n = p.groupBy(F.floor(i / 100).cast("long").alias("doc_id")).agg(F.count("*").alias("concepts"))
     return rows.join(n, "doc_id")
 
 
@@ -79,7 +79,7 @@ def i18_centrality(spark: SparkSession, d: str) -> DataFrame:
     """Edges join concepts whose numbers are next to each other within a document, every other one."""
     p = t.load(spark, d, "part")
     name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
-    nodes = p.select(F.col("p_size").cast("long").alias("doc_id"), F.col("p_partkey").alias("k"), name.alias("concept"))
+    nodes = p.select(F.floor(F.col("p_partkey") / 100).cast("long").alias("doc_id"), F.col("p_partkey").alias("k"), name.alias("concept"))
     from pyspark.sql import Window
 
     after = F.lead("concept").over(Window.partitionBy("doc_id").orderBy("k"))
@@ -111,11 +111,43 @@ def g7_planned_slots(spark: SparkSession, d: str) -> DataFrame:
     return ops.plan(rows, count=8, types=["mcq", "true-false", "short"])
 
 
+COUNT, TYPES = 8, ["mcq", "true-false", "short"]
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """A target for each part, with its scores and whether it passes the gates."""
+    rows = ops.gated(ops.scored(candidates(spark, d).withColumn("distractors", F.lit(1.0))))
+    return rows.withColumns({
+        "facet": F.when(F.col("id") % 4 == 0, "cause").otherwise(""), "topic": F.col("own_difficulty"), "writable": F.when(F.col("id") % 3 == 0, F.array(F.lit("mcq"), F.lit("short"))).otherwise(F.array(F.lit("short"))),
+        "objective": F.concat_ws("/", "concept", "skill"), "important": F.col("importance") >= 0.9, "good": F.col("reasons") == "",
+    })
+
+
+def _topped_up(spark: SparkSession, d: str) -> DataFrame:
+    """Pools of the first three parts of each quiz that pass, topped up to eight; a planned target is written if it passes."""
+    targets = _targets(spark, d)
+    pool = targets.filter("good and id % 100 < 12")
+    write = lambda slots: slots.join(targets.filter("good").select("quiz_id", "id", "concept", "objective"), ["quiz_id", "id"])
+    return ops.topped_up(pool, targets, write, COUNT, TYPES)
+
+
+def g10_topped_up(spark: SparkSession, d: str) -> DataFrame:
+    return _topped_up(spark, d).select("quiz_id", "id", "objective", "round")
+
+
+def j11_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    """Quizzes that ask for as many questions as a third of their parts, against those that pass; pages follow from numbers of the quiz."""
+    rows = _targets(spark, d)
+    asked = rows.groupBy("quiz_id").agg(F.ceil(F.count("*") / 3).cast("int").alias("requested"), F.count("*").alias("planned"), F.count_if("good").alias("passed"), F.count_if(~F.col("good")).alias("rejected"))
+    asked = asked.withColumns({"pages_dropped": F.when(F.col("quiz_id") % 3 == 0, 2), "image_pages": F.col("quiz_id") % 2, "provider_errors": F.lit(1)})
+    return ops.shortfalls(rows.filter("good"), asked)
+
+
 _UNIT = lambda k, m: f"round((p_partkey * {k} % {m}) / {m}.0::DOUBLE, 4)"
 _SKILL = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SKILLS)) + " END"
 _COG = "CASE skill " + " ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in ops.COGNITIVE.items()) + " ELSE 0.65::DOUBLE END"
 _CAND = f"""
-WITH base AS (SELECT CAST(p_size AS BIGINT) AS quiz_id, p_partkey AS id, {_SKILL} AS skill, CASE p_partkey % 7 % 4 WHEN 0 THEN 'mcq' WHEN 1 THEN 'true-false' WHEN 2 THEN 'fill-blank' ELSE 'short' END AS kind, p_brand AS concept,
+WITH base AS (SELECT CAST(p_partkey // 100 AS BIGINT) AS quiz_id, p_partkey AS id, {_SKILL} AS skill, CASE p_partkey % 7 % 4 WHEN 0 THEN 'mcq' WHEN 1 THEN 'true-false' WHEN 2 THEN 'fill-blank' ELSE 'short' END AS kind, p_brand AS concept,
   'How does ' || p_name || CASE WHEN p_partkey % 5 = 0 THEN ' and the thing' ELSE '' END || CASE WHEN p_partkey % 7 = 2 THEN ' work ___ here' ELSE ' work' END || '?' AS prompt,
   0.5::DOUBLE + {_UNIT(17, 101)} / 2 AS importance, 0.6::DOUBLE + {_UNIT(29, 97)} * 0.4::DOUBLE AS grounding, 0.5::DOUBLE + {_UNIT(13, 89)} / 2 AS conceptual, {_UNIT(31, 83)} AS novelty, 1.0::DOUBLE AS distractors,
   CASE p_partkey % 3 WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS difficulty FROM part),
@@ -125,9 +157,9 @@ scored AS (SELECT *, round_even({" + ".join(f"{w}::DOUBLE * {n}" for n, w in ops
 gated AS (SELECT *, concat_ws('; ', {", ".join(f"CASE WHEN {n} < {v} THEN printf('{n} %.2f<{v:.2f}', {n}) END" for n, v in ops.GATES)}) AS reasons FROM scored)
 """
 _CONCEPTS = f"""
-WITH c AS (SELECT CAST(p_size AS BIGINT) AS doc_id, p_partkey AS k, p_name || ' ' || p_partkey AS concept, {_UNIT(7, 53)} AS type_value, {_UNIT(11, 59)} AS depth, {_UNIT(13, 61)} AS centrality, {_UNIT(17, 67)} AS richness,
+WITH c AS (SELECT CAST(p_partkey // 100 AS BIGINT) AS doc_id, p_partkey AS k, p_name || ' ' || p_partkey AS concept, {_UNIT(7, 53)} AS type_value, {_UNIT(11, 59)} AS depth, {_UNIT(13, 61)} AS centrality, {_UNIT(17, 67)} AS richness,
   {_UNIT(19, 71)} AS emphasis, {_UNIT(23, 73)} AS prerequisite, {_UNIT(29, 79)} AS spread, CASE p_partkey % 4 WHEN 0 THEN 'definition' WHEN 1 THEN 'fact' WHEN 2 THEN 'example' ELSE 'process' END AS type,
-  p_partkey % 40 AS tokens, CASE p_partkey % 5 % 3 WHEN 0 THEN 0.04::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.06::DOUBLE END AS hint, {_UNIT(31, 83)} AS value, p_partkey % 3 = 0 AS developed, count(*) OVER (PARTITION BY p_size) AS concepts FROM part),
+  p_partkey % 40 AS tokens, CASE p_partkey % 5 % 3 WHEN 0 THEN 0.04::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.06::DOUBLE END AS hint, {_UNIT(31, 83)} AS value, p_partkey % 3 = 0 AS developed, count(*) OVER (PARTITION BY p_partkey // 100) AS concepts FROM part),
 r AS (SELECT *, (1 - {ops.STRUCTURAL_SHARE}::DOUBLE * least(1.0::DOUBLE, concepts / {ops.STRUCTURAL_FLOOR})) * ({" + ".join(f"{w}::DOUBLE * {n}" for n, w in ops.INTRINSIC.items())})
   + {ops.STRUCTURAL_SHARE}::DOUBLE * least(1.0::DOUBLE, concepts / {ops.STRUCTURAL_FLOOR}) * ({" + ".join(f"{w}::DOUBLE * {n}" for n, w in ops.STRUCTURAL.items())}) + hint AS raw FROM c),
 e AS (SELECT *, CASE WHEN tokens < 5 THEN least(raw, {ops.UNEXPLAINED}::DOUBLE) ELSE raw END AS r1 FROM r), x AS (SELECT *, CASE WHEN type = 'example' THEN least(r1, {ops.EXAMPLE}::DOUBLE) ELSE r1 END AS r2 FROM e),
@@ -148,6 +180,7 @@ m AS (SELECT *, max(importance) FILTER (p = least(n, greatest(3, least(8, n))) /
 g AS (SELECT *, count(*) FILTER (importance >= middle * 0.62::DOUBLE) OVER (PARTITION BY doc_id) AS good FROM m)
 SELECT doc_id, concept FROM g WHERE n <= 3 OR good < 3 OR importance >= middle * 0.62::DOUBLE"""),
     "f15_best_of_each": (f15_best_of_each, None),
+    "g10_topped_up": (g10_topped_up, None),
     "g7_planned_slots": (g7_planned_slots, None),
     "g8_chosen_questions": (g8_chosen_questions, None),
     "i18_centrality": (i18_centrality, _CONCEPTS + """,
@@ -159,5 +192,10 @@ SELECT concept, coalesce(degree, 0) AS degree, CASE WHEN degree > 0 THEN round_e
     "j2_quality": (j2_quality, _CAND + "SELECT id, total, clarity, cognitive, difficulty FROM scored"),
     "j3_distractors": (j3_distractors, None),
     "j5_gates": (j5_gates, _CAND + "SELECT id, reasons FROM gated"),
+    "j11_shortfalls": (j11_shortfalls, _CAND + """,
+a AS (SELECT quiz_id, CAST(ceil(count(*) / 3.0::DOUBLE) AS INTEGER) AS requested, count(*) FILTER (reasons = '') AS available, count(*) AS planned, count(*) FILTER (reasons = '') AS passed, count(*) FILTER (reasons <> '') AS rejected,
+  CASE WHEN quiz_id % 3 = 0 THEN 2 ELSE 0 END AS pages_dropped, quiz_id % 2 AS image_pages, 1 AS provider_errors FROM gated GROUP BY quiz_id)
+SELECT quiz_id, requested, available, CASE WHEN available = 0 THEN 'provider' WHEN pages_dropped > 0 THEN 'pages dropped' WHEN image_pages > 0 THEN 'image pages' ELSE 'material' END AS reason,
+  planned, passed, rejected, pages_dropped, image_pages, provider_errors FROM a WHERE available < requested"""),
     "j12_audit": (j12_audit, None),
 }
