@@ -269,3 +269,11 @@ NAMED_BAD_STEMS = ["what is response time?", "what is the cell?", "what is the n
 AGENTIVE_STEM = r"(?i)\b(?:carry\s+out\s+its\s+function|works\s+by\s+means\s+of|by\s+what\s+mechanism\s+does)\b"
 PRINCIPLE_NAME = r"(?i)\b(?:law|rule|principle|theorem|axiom|postulate|equation|formula)\b"
 ANY_VERB = r"(?i)\b(?:is|are|was|were|has|have|had|does|do|did|can|will|must|may|[a-z]+(?:s|ed|es))\b"
+
+# Small words inside headings, words that open a question, their verbs, and words that begin the next sentence.
+HEADING_GLUE = "and or of to in for the a an".split()
+INTERROGATIVES = "what why how when where".split()
+COPULAS = "is are".split()
+SENTENCE_STARTERS = [*"the a an this these those it in on at we you they each every many most some because when while if although students".split(), "a\u00a0key"]
+# Keys of an answer that cite pages.
+PAGE_KEYS = ["source_page", "source_pages", "start_page", "end_page"]

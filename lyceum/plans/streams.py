@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum.functions import text as fn
+from lyceum.functions import words
 from lyceum.operators import documents, extracts
 from lyceum.plans.activity import QUERIES as ACTIVITY
-from lyceum.plans.text import STOP
+from lyceum.plans.text import _LINES, STOP, _sql_list
 from lyceum.sources import readers
 from lyceum.sources import tables as t
 from lyceum.streaming import ledger
@@ -107,6 +108,24 @@ def f13_evidence(spark: SparkSession, d: str) -> DataFrame:
     return extracts.evidence(terms, s).withColumn("score", F.round("score", 6))
 
 
+def i20_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of the documents' lines, each behind its page and number."""
+    rows = documents.lines(t.load(spark, d, "documents"), lines_per_page=4)
+    numbered = F.concat(F.col("page").cast("string"), F.lit("."), F.col("line_no").cast("string"), F.lit(" "), "line")
+    return rows.select("doc_id", "line_no", F.posexplode(extracts.numbered_headings(numbered)).alias("place", "heading"))
+
+
+def h31_false_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Answers about the documents that cite pages in nested cards, of which some don't exist."""
+    docs = t.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("n"), (F.col("n_chars") % 7 + 1).alias("pages"))
+    n = F.col("n").cast("string")
+    answer = F.concat(
+        F.lit('{"cards":[{"front":"x","source_pages":[1,'), (F.col("n") % 10).cast("string"), F.lit(',[3,"4"],2.5]},{"deep":{"page":99,"start_page":'), (F.col("n") % 5).cast("string"),
+        F.lit('}}],"end_page":"'), n, F.lit('","source_page":'), F.when(F.col("n") % 3 == 0, "true").otherwise(F.concat(F.lit("-"), (F.col("n") % 2).cast("string"))), F.when(F.col("n") % 11 == 0, ",").otherwise("}"),
+    )
+    return extracts.false_citations(docs.select("id", answer.alias("answer"), "pages"))
+
+
 _KEYS = "SELECT user_id, event_type AS source, CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k') END AS key FROM events"
 
 QUERIES = {
@@ -118,7 +137,26 @@ SELECT file_id, version, 'Draft ' || version AS title FROM last UNION ALL SELECT
 SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS tags, 0 AS notes, CASE WHEN doc_id % 3 <> 0 THEN CAST(n_chars AS DOUBLE) END AS exam, CAST(NULL AS DOUBLE) AS score, doc_id % 10 = 0 AS favorite, false AS pinned FROM documents"""),
     "f13_evidence": (f13_evidence, None),
     "g2_sentences": (g2_sentences, None),
+    "h31_false_citations": (h31_false_citations, """
+WITH a AS (SELECT doc_id AS id, n_chars % 7 + 1 AS pages, '{"cards":[{"front":"x","source_pages":[1,' || (n_chars % 10) || ',[3,"4"],2.5]},{"deep":{"page":99,"start_page":' || (n_chars % 5) || '}}],"end_page":"' || n_chars || '","source_page":'
+  || CASE WHEN n_chars % 3 = 0 THEN 'true' ELSE '-' || (n_chars % 2) END || '}' AS answer FROM documents WHERE n_chars % 11 <> 0),
+leaf AS (SELECT a.id, a.pages, regexp_extract(regexp_replace(t.fullkey, '(\\[\\d+\\])+$', ''), '([^.]+)$', 1) AS key, t.type, t.atom FROM a, json_tree(a.answer) t)
+SELECT id, key, CAST(atom AS BIGINT) AS page FROM leaf WHERE key IN ('source_page', 'source_pages', 'start_page', 'end_page') AND type IN ('UBIGINT', 'BIGINT') AND (CAST(atom AS BIGINT) < 1 OR CAST(atom AS BIGINT) > pages)"""),
     "i17_relations": (i17_relations, None),
+    "i20_headings": (i20_headings, rf"""
+WITH RECURSIVE {_LINES}, parts AS (SELECT doc_id, line_no, string_split(regexp_replace(page || '.' || line_no || ' ' || line, '(\d+\.\d+)\s+', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM paged),
+cut AS (SELECT doc_id, line_no, i, i < len(p) AS inner_, split_part(p[i], chr(2), 1) AS number, split_part(p[i], chr(2), 2) AS behind FROM (SELECT *, unnest(range(2, len(p) + 1)) AS i FROM parts)),
+seg AS (SELECT doc_id, line_no, i, number, regexp_split_to_array(CASE WHEN inner_ AND NOT regexp_matches(behind, '\s$') THEN behind || '0' ELSE behind END, '\s')[1:10] AS raw FROM cut),
+walk AS (
+  SELECT doc_id, line_no, i, number, raw, 0 AS k, CAST([] AS VARCHAR[]) AS w, false AS asks, false AS named, true AS open FROM seg
+  UNION ALL
+  SELECT doc_id, line_no, i, number, raw, k + 1, CASE WHEN fits AND NOT again THEN list_append(w, word) ELSE w END, asks OR first, named OR (fits AND title AND NOT first AND (asks OR first)), fits AND NOT again AND NOT regexp_matches(r, '[.!?]$')
+  FROM (SELECT *, title OR low IN {_sql_list(words.HEADING_GLUE)} OR first OR (asks AND NOT named AND low IN {_sql_list(words.COPULAS)}) AS fits, title AND list_contains(list_transform(w, lambda x: lower(x)), low) AS again
+    FROM (SELECT *, lower(word) AS low, regexp_matches(word, '^[A-Z][a-z''-]*$') OR regexp_matches(word, '^[A-Z]+$') AS title, len(w) = 0 AND lower(word) IN {_sql_list(words.INTERROGATIVES)} AS first
+      FROM (SELECT *, raw[k + 1] AS r, regexp_replace(raw[k + 1], '[.,;:!?]+$', '') AS word FROM walk WHERE open AND k < len(raw))))),
+last AS (SELECT doc_id, line_no, i, number, arg_max(w, k) AS w FROM walk GROUP BY ALL),
+kept AS (SELECT *, greatest(1, coalesce(list_max(list_filter(range(1, len(w) + 1), lambda k: lower(w[k]) NOT IN {_sql_list(words.SENTENCE_STARTERS)})), 1)) AS n FROM last WHERE len(w) > 0)
+SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) - 1 AS INTEGER) AS place, number || ' ' || array_to_string(w[1:n], ' ') AS heading FROM kept"""),
     "i21_definitions": (i21_definitions, None),
     "i22_formulas": (i22_formulas, None),
     "i24_difficulty": (i24_difficulty, None),
