@@ -277,3 +277,14 @@ COPULAS = "is are".split()
 SENTENCE_STARTERS = [*"the a an this these those it in on at we you they each every many most some because when while if although students".split(), "a\u00a0key"]
 # Keys of an answer that cite pages.
 PAGE_KEYS = ["source_page", "source_pages", "start_page", "end_page"]
+# Names that a provider may give the kinds of knowledge, words joined by _.
+KNOWLEDGE_NAMES = {
+    "definition": ["core_concept", "central_concept", "concept", "definition", "important_definition", "term"],
+    "process": ["process", "mechanism", "process_mechanism", "procedure"],
+    "cause_effect": ["cause_effect", "causal", "cause", "relationship"],
+    "comparison": ["comparison", "contrast", "distinction"],
+    "classification": ["classification", "category", "taxonomy"],
+    "principle": ["principle", "rule", "law", "formula", "formula_rule", "theorem"],
+    "example": ["example", "illustration"],
+    "fact": ["fact", "detail"],
+}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyceum.functions import text as fn
 from lyceum.operators import concepts as ops
-from lyceum.operators import study_map
+from lyceum.operators import provider, study_map
 from lyceum.sources import tables as t
 from lyceum.sources.shared import stored
 
@@ -61,8 +62,27 @@ def i17_document_relations(spark: SparkSession, d: str) -> DataFrame:
     return _map(spark, d).relations
 
 
+def g13_merged_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """What a provider proposes of each document, verified and merged with the document's own concepts.
+
+    Stands in for a provider: the first words of every third teaching sentence as a name, with the sentence as its
+    quote, the page before its own as its page, and for every second one a quote that stands nowhere.
+    """
+    rows = _sentences(spark, d)
+    taught = ops.taught(rows)
+    pages = rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    k = F.col("number")
+    said = taught.filter(k % 3 == 0).select(
+        "doc_id", k.cast("long").alias("place"), F.substring_index("sentence", " ", 3).alias("name"), F.when(k % 2 == 0, "Core Concept").otherwise("odd").alias("type"),
+        F.array(F.when(k % 2 == 0, F.col("sentence")).otherwise(F.concat(F.lit("No page says that "), fn.slug(F.col("sentence")), F.lit(" at all here.")))).alias("quotes"),
+        F.array(F.when(k % 4 == 0, F.col("page") - 1).otherwise(F.col("page")).cast("string")).alias("pages"),
+    )
+    return provider.merged(provider.verified(said, pages, taught), ops.concepts(rows, taught))
+
+
 QUERIES = {
     "e12_leading_of_documents": (e12_leading_of_documents, None),
+    "g13_merged_concepts": (g13_merged_concepts, None),
     "g3_alias_targets": (g3_alias_targets, None),
     "g4_prefix_targets": (g4_prefix_targets, None),
     "i10_teaching_sentences": (i10_teaching_sentences, None),
