@@ -38,7 +38,7 @@ def test_verified(spark):
         r = found[p[:2]]
         assert (r["fault"], r["concept"], r["type"], r["pages"]) == want, p
     assert len(found[1, 9]["evidence"]) == 1
-    many = said.limit(1).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(65))).cast("long"))
+    many = said.limit(1).withColumn("place", F.explode(F.expr("sequence(1L, 65L)")))
     assert provider.verified(many, pages, ops.taught(rows)).filter("fault = 'over the limit of a document'").count() == 5
     assert provider.verified(said.limit(0), pages, ops.taught(rows)).count() == 0
 
