@@ -22,7 +22,7 @@ from lyceum.llm.shared import cut
 from lyceum.llm.word_arrays import between, filter_of, gram_hashes, hashes, mixed, slices, words
 
 #: Words of a shard; a longer text is a shard of its own.
-SHARD = 1_500_000
+SHARD = 600_000
 _CLASSES = between(b" \t", b".,;:!?\n\x0b\x0c\r")
 _WIDE = np.uint64(0xD1342543DE82EF95)
 
@@ -72,27 +72,32 @@ def _counted(least: int, most: int, good_words=None, good_pairs=None):
     """For mapInArrow over (lang, text): lang, phrase and count of the phrases of least to most words of each shard."""
 
     def emit(shard: list[tuple[np.ndarray, np.ndarray, np.ndarray]], vocabulary: pa.Array, langs: list[str]) -> Iterator[pa.RecordBatch]:
-        word, lang, piece = (np.concatenate(x) for x in zip(*shard))
-        keys, ids = np.unique(lang * (len(vocabulary) + 1) + word, return_inverse=True)
+        """shard: (word, lang, whether it follows the word before in one piece) of each slice; it is emptied at once."""
+        word, lang, joined = (np.concatenate(x) for x in zip(*shard))
+        shard.clear()
+        keys, ids = np.unique(lang * np.int64(len(vocabulary) + 1) + word, return_inverse=True)
+        del word, lang
         key_word, key_lang = keys % (len(vocabulary) + 1), keys // (len(vocabulary) + 1)
         h = _pair_key(hashes(vocabulary)[key_word], hashes(pa.array(langs, pa.large_string()))[key_lang])
         good = good_words.value.holds(h) if good_words else np.ones(len(keys), dtype=bool)
-        joined = piece[1:] == piece[:-1]
+        joined = joined[1:]
         if good_pairs:
             joined = joined & good[ids[1:]] & good[ids[:-1]] & good_pairs.value.holds(gram_hashes(h[ids], 2))
         # A 0 after each word that isn't joined to the next, and in place of words that can't be frequent.
         at = np.arange(len(ids)) + np.concatenate([[0], np.cumsum(~joined)])
         row = np.zeros(at[-1] + 2, dtype=np.int64)
         row[at] = np.where(good[ids], ids + 1, 0)
+        del at, ids, joined, h
         for n, places, counts in phrase_counts(row, least, most):
-            parts = [vocabulary.take(pa.array(key_word[row[places + j] - 1])) for j in range(n)]
-            text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
             for i in range(0, len(places), 100_000):
-                own = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(key_lang[row[places[own]] - 1])), text[own].cast(pa.large_string()).cast(pa.string()), pa.array(counts[own])], ["lang", "phrase", "f"])
+                own, told = places[i : i + 100_000], counts[i : i + 100_000]
+                parts = [vocabulary.take(pa.array(key_word[row[own + j] - 1])) for j in range(n)]
+                text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(key_lang[row[own] - 1])), text.cast(pa.large_string()).cast(pa.string()), pa.array(told)], ["lang", "phrase", "f"])
+        pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, last = [], 0, 0
+        shard, size = [], 0
         vocabulary, langs = pa.array([], pa.large_binary()), {}
         for batch in batches:
             for first, rows in slices(batch.column(1)):
@@ -105,8 +110,9 @@ def _counted(least: int, most: int, good_words=None, good_pairs=None):
                 own = [langs.setdefault(x, len(langs)) for x in batch.column(0).slice(first, rows).to_pylist()]
                 both = pa.concat_arrays([vocabulary, found.vocabulary]).dictionary_encode()
                 vocabulary = both.dictionary
-                shard.append((np.asarray(both.indices, dtype=np.int64)[-len(found.vocabulary) :][found.ids], np.array(own, dtype=np.int64)[found.doc], found.piece + last))
-                size, last = size + len(found.ids), last + int(found.piece[-1]) + 1
+                follows = np.concatenate([[False], found.piece[1:] == found.piece[:-1]])
+                shard.append((np.asarray(both.indices, dtype=np.int32)[-len(found.vocabulary) :][found.ids], np.array(own, dtype=np.int32)[found.doc], follows))
+                size += len(found.ids)
         if size:
             yield from emit(shard, vocabulary, list(langs))
 
