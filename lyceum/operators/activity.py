@@ -147,3 +147,15 @@ def rotation(periods: DataFrame, size: int, take: int) -> DataFrame:
 
     items = F.aggregate(F.sequence(F.lit(size - 1), F.lit(1), F.lit(-1)), state, step, lambda s: F.slice(s["items"], 1, take))
     return periods.select("period", F.posexplode(items).alias("place", "item"))
+
+
+def period_keys(rows: DataFrame) -> DataFrame:
+    """rows (ts), each twice: with cadence daily and the day as key, and with cadence weekly and the Monday of the week.
+
+    On a Monday both keys are the same date, so progress belongs to (cadence, key), never to the key alone. A null ts
+    has null keys.
+    """
+    day = F.date_format("ts", "yyyy-MM-dd")
+    monday = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    periods = F.array(F.struct(F.lit("daily").alias("cadence"), day.alias("key")), F.struct(F.lit("weekly").alias("cadence"), monday.alias("key")))
+    return rows.withColumn("__period", F.explode(periods)).withColumns({"cadence": F.col("__period.cadence"), "key": F.col("__period.key")}).drop("__period")

@@ -161,3 +161,18 @@ def first_kept(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     same = lambda a, b: (fn.jaccard(a, b) >= threshold) | ((F.size(a) == 0) & (F.size(b) == 0))
     kept = F.aggregate("rows", none, lambda acc, r: F.when(F.exists(acc, lambda k: same(k["tokens"], r["tokens"])), acc).otherwise(F.array_append(acc, r)))
     return lists.select("group", F.explode(kept).alias("k")).select("group", "k.ord", "k.id")
+
+
+def closest_concepts(questions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """scope, id, concept, score: for each question the concept of its scope that has most of its words; null where none shares one.
+
+    questions: (scope, id, text); concepts: (scope, ord, concept). Words are what stands between other than letters,
+    digits and _, in lower case, the empty ones at the ends included; a word that a concept repeats counts again.
+    Of equals the first by ord wins. They meet by scope and word; null texts have no words.
+    """
+    parts = lambda c: F.split(F.lower(c), r"\W+", -1)
+    asked = questions.select("scope", "id", F.explode(F.array_distinct(parts(F.col("text")))).alias("word"))
+    named = concepts.select("scope", "ord", "concept", F.explode(parts(F.col("concept"))).alias("word"))
+    scores = asked.join(named, ["scope", "word"]).groupBy("scope", "id", "ord", "concept").agg(F.count("*").alias("score"))
+    best = scores.groupBy("scope", "id").agg(F.max_by("concept", F.struct("score", -F.col("ord"))).alias("concept"), F.max("score").alias("score"))
+    return questions.select("scope", "id").join(best, ["scope", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))

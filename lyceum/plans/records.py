@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lyceum.functions import study as st
 from lyceum.functions import text as fn
-from lyceum.operators import activity, extracts
+from lyceum.operators import activity, documents, extracts
 from lyceum.operators import records as ops
 from lyceum.plans.text import STOP, _normal_sql, _quoted, _words_sql
 from lyceum.sources import tables as t
@@ -150,6 +150,18 @@ def h16_name_stems(spark: SparkSession, d: str) -> DataFrame:
     return t.load(spark, d, "region").select("r_regionkey", F.explode(words).alias("word")).select("r_regionkey", "word", ops.name_stem(F.col("word")).alias("stem"))
 
 
+def h25_period_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user by period, daily and weekly."""
+    return activity.period_keys(t.load(spark, d, "events")).groupBy("user_id", "cadence", "key").agg(F.count("*").alias("events"))
+
+
+def f12_closest_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """For each user turn the closest of the names that the benchmark items of its tenth begin with."""
+    asked = t.load(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") % 10).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    names = t.load(spark, d, "benchmark").select((F.col("item_id") % 10).alias("scope"), F.col("item_id").alias("ord"), F.substring_index("text", " ", 4).alias("concept"))
+    return documents.closest_concepts(asked, names)
+
+
 def h24_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Week and its label of each day of events."""
     days = t.load(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
@@ -267,6 +279,14 @@ SELECT conv_id, turn, round(score, 6) AS similarity, a = b OR score >= 0.6 AS du
     "h8_text_hashes": (h8_text_hashes, _HASH),
     "h16_name_stems": (h16_name_stems, """
 SELECT r_regionkey, word, stem FROM region, (VALUES ('theories', 'theory'), ('boxes', 'box'), ('classes', 'class'), ('cells', 'cell'), ('mass', 'mass'), ('gas', 'gas'), ('dishes', 'dish'), ('ies', 'ies'), ('process', 'process')) v(word, stem)"""),
+    "f12_closest_concepts": (f12_closest_concepts, r"""
+WITH q AS (SELECT conv_id % 10 AS scope, conv_id * 1000 + turn AS id, unnest(list_distinct(regexp_split_to_array(lower(text), '\W+'))) AS word FROM conversations WHERE role = 'user'),
+c AS (SELECT item_id % 10 AS scope, item_id AS ord, array_to_string(string_split(text, ' ')[1:4], ' ') AS concept FROM benchmark), w AS (SELECT scope, ord, concept, unnest(regexp_split_to_array(lower(concept), '\W+')) AS word FROM c),
+s AS (SELECT q.scope, q.id, ord, concept, count(*) AS score FROM q JOIN w USING (scope, word) GROUP BY ALL), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY scope, id ORDER BY score DESC, ord) = 1)
+SELECT u.conv_id % 10 AS scope, u.conv_id * 1000 + u.turn AS id, b.concept, coalesce(b.score, 0) AS score FROM conversations u LEFT JOIN b ON b.id = u.conv_id * 1000 + u.turn WHERE u.role = 'user'"""),
+    "h25_period_progress": (h25_period_progress, """
+WITH p AS (SELECT user_id, 'daily' AS cadence, strftime(ts, '%Y-%m-%d') AS key FROM events UNION ALL SELECT user_id, 'weekly', strftime(date_trunc('week', ts), '%Y-%m-%d') FROM events)
+SELECT user_id, cadence, key, count(*) AS events FROM p GROUP BY ALL"""),
     "h24_weeks": (h24_weeks, """
 WITH x AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), y AS (SELECT day, CAST(date_trunc('week', day) AS DATE) AS w FROM x)
 SELECT strftime(day, '%Y-%m-%d') AS day, strftime(w, '%Y-%m-%d') AS week, strftime(w, '%b %-d') || ' - ' || strftime(w + 6, '%b %-d') AS label FROM y"""),

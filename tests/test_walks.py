@@ -1,9 +1,9 @@
-"""Headings behind numbers, page citations inside JSON, and ranks over everybody."""
+"""Headings behind numbers, page citations inside JSON, ranks over everybody, closest concepts, periods."""
 
 import json
 import random
 
-from lyceum.operators import activity, extracts
+from lyceum.operators import activity, documents, extracts
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,16 @@ def test_ranks_over_everybody_by_ranges(spark):
     assert activity.ranked(rows.limit(0), "week").count() == 0
     plan = activity.ranked(rows, "week")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan  # dealt out already; the window in the plan has a row for each part
+
+
+def test_closest_concepts(spark):
+    asked = spark.createDataFrame([(1, 1, "What is Cell-theory?"), (1, 2, "cell cell"), (1, 3, "none of these"), (1, 4, None), (2, 5, "cell"), (1, 6, "")], "scope long, id long, text string")
+    names = spark.createDataFrame([(1, 2, "Cell"), (1, 1, "Theory of gas"), (1, 3, "cell theory"), (1, 4, "cell cell"), (1, 5, None)], "scope long, ord long, concept string")
+    found = {r["id"]: (r["concept"], r["score"]) for r in documents.closest_concepts(asked, names).collect()}
+    assert found == {1: ("cell theory", 2), 2: ("cell cell", 2), 3: ("Theory of gas", 1), 4: (None, 0), 5: (None, 0), 6: (None, 0)}
+
+
+def test_periods_of_a_monday_stay_apart(spark):
+    rows = spark.createDataFrame([("2024-01-29 10:00:00",), ("2024-02-04 23:00:00",), (None,)], "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
+    found = sorted(((r["cadence"], r["key"]) for r in activity.period_keys(rows).collect()), key=str)
+    assert found == sorted([("daily", "2024-01-29"), ("weekly", "2024-01-29"), ("daily", "2024-02-04"), ("weekly", "2024-01-29"), ("daily", None), ("weekly", None)], key=str)
