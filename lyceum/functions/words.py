@@ -115,13 +115,13 @@ PRESS_LINE = r"(?i)^(?:(?:[\w&'’\-]+\s+){0,5}(?:university\s+)?press(?:,?\s+\w
 
 # Markers of what a sentence teaches, in the order in which they are tried.
 KNOWLEDGE = [
-    ("definition", r"\b(is|are)\s+defined\s+as\b|\brefers?\s+to\b|\bis\s+known\s+as\b|\bis\s+called\b|\bmeans\s+that\b|\bis\s+the\s+(study|process|term|name)\b|\bcan\s+be\s+defined\b"),
-    ("comparison", r"\b(unlike|whereas|while\b.{0,60}\b(but|however)|in contrast|compared (to|with)|differs? from|difference between|similar to|both\b.{0,40}\band\b|rather than|instead of|distinguish\w*)\b"),
-    ("cause_effect", r"\b(because|therefore|thus|hence|causes?|caused by|leads? to|results? in|due to|depends? on|so that|consequently|if\b.{0,60}\bthen|increases?|decreases?|affects?|enables?|prevents?|allows?)\b"),
-    ("classification", r"\b(types? of|kinds? of|categor\w+|classif\w+|divided into|consists? of|grouped into|forms? of|exists? in two)\b"),
-    ("process", r"\b(process|procedure|mechanism|steps?|stages?|phases?|cycle|sequence|first|then|next|finally|proceeds?|converts?|synthes\w+|assembl\w+|produces?|generates?|transforms?|replicat\w+|transcrib\w+|translat\w+|iterat\w+)\b"),
-    ("principle", r"\b(law of|principle|theorem|rule|axiom|postulate|states? that|equation|formula|must always|never|theory states)\b|="),
-    ("example", r"\b(for example|for instance|such as|e\.g\.|as an example|consider the case|commonly (called|remembered|abbreviated)|mnemonic)\b"),
+    ("definition", r"\b(is|are)\s+defined\s+as\b|\brefers?\s+to\b|\bis\s+known\s+as\b|\bis\s+called\b|\bmeans\s+that\b|\bis\s+the\s+(study|process|term|name)\b|\bcan\s+be\s+defined\b|يعرف|تعرف|يقصد ب|هو عباره عن|هي عباره عن"),
+    ("comparison", r"\b(unlike|whereas|while\b.{0,60}\b(but|however)|in contrast|compared (to|with)|differs? from|difference between|similar to|both\b.{0,40}\band\b|rather than|instead of|distinguish\w*)\b|على عكس|بينما|مقارنه|يختلف عن|الفرق بين"),
+    ("cause_effect", r"\b(because|therefore|thus|hence|causes?|caused by|leads? to|results? in|due to|depends? on|so that|consequently|if\b.{0,60}\bthen|increases?|decreases?|affects?|enables?|prevents?|allows?)\b|يسبب|يودي الي|بسبب|نتيجه|لذلك|يعتمد علي|يمنع|يسمح"),
+    ("classification", r"\b(types? of|kinds? of|categor\w+|classif\w+|divided into|consists? of|grouped into|forms? of|exists? in two)\b|انواع|تصنيف|ينقسم الي|يتكون من"),
+    ("process", r"\b(process|procedure|mechanism|steps?|stages?|phases?|cycle|sequence|first|then|next|finally|proceeds?|converts?|synthes\w+|assembl\w+|produces?|generates?|transforms?|replicat\w+|transcrib\w+|translat\w+|iterat\w+)\b|عمليه|خطوات|مراحل|اليه|يتم انتاج|يتم تحويل"),
+    ("principle", r"\b(law of|principle|theorem|rule|axiom|postulate|states? that|equation|formula|must always|never|theory states)\b|=|قانون|مبدا|نظريه|قاعده|معادله"),
+    ("example", r"\b(for example|for instance|such as|e\.g\.|as an example|consider the case|commonly (called|remembered|abbreviated)|mnemonic)\b|مثال|علي سبيل المثال"),
 ]
 
 # Verbs that make a line a statement, and words after which a verb's form is a noun.

@@ -132,3 +132,13 @@ def test_best_of_each(spark):
 @pytest.mark.parametrize("name", ["i3_cleaned_pages", "i5_headings", "j3_distractors", "j12_audit", "f15_best_of_each", "g11_first_of_near_copies", "h11_bullets", "i32_distractors"])
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
+
+
+def test_knowledge_of_arabic_sentences(spark):
+    from lyceum.functions import text as fn
+
+    cases = {"الطاقه هي عباره عن قدره": "definition", "ينمو النبات بسبب الضوء": "cause_effect", "ينقسم الي نوعين": "classification", "علي سبيل المثال": "example", "قانون الجاذبيه": "principle", "جمله عاديه": "fact"}
+    rows = spark.createDataFrame([(x,) for x in cases], "text string")
+    from pyspark.sql import functions as F
+
+    assert [r["k"] for r in rows.select(fn.knowledge_type(F.col("text")).alias("k")).collect()] == list(cases.values())
