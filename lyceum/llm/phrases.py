@@ -23,6 +23,8 @@ from lyceum.llm.word_arrays import between, filter_of, gram_hashes, hashes, mixe
 
 #: Words of a shard; a longer text is a shard of its own.
 SHARD = 600_000
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 20
 _CLASSES = between(b" \t", b".,;:!?\n\x0b\x0c\r")
 _WIDE = np.uint64(0xD1342543DE82EF95)
 
@@ -100,7 +102,7 @@ def _counted(least: int, most: int, good_words=None, good_pairs=None):
         shard, size = [], 0
         vocabulary, langs = pa.array([], pa.large_binary()), {}
         for batch in batches:
-            for first, rows in slices(batch.column(1)):
+            for first, rows in slices(batch.column(1), SLICE):
                 found = words(batch.column(1).slice(first, rows), _CLASSES)
                 if not len(found.ids):
                     continue
