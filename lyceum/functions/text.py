@@ -102,6 +102,12 @@ def heading_like(line: Column) -> Column:
     return F.when(s == "", True).otherwise((F.size(parts) <= 12) & ~states & shaped)
 
 
+def without_inline_heading(text: Column) -> Column:
+    """The text without a numbered heading fused to its front, trimmed; the whole text if nothing else would stay."""
+    rest = F.trim(F.regexp_replace(text, words.INLINE_HEADING, ""))
+    return F.when(rest != "", rest).otherwise(F.trim(text))
+
+
 def generic_label(name: Column) -> Column:
     key = normal(name)
     return (key == "") | key.isin(words.GENERIC_LABELS) | (F.size(content_tokens(key)) == 0)

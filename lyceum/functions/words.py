@@ -288,3 +288,6 @@ KNOWLEDGE_NAMES = {
     "example": ["example", "illustration"],
     "fact": ["fact", "detail"],
 }
+
+# A numbered heading that stands before a sentence without a mark between.
+INLINE_HEADING = r"^\s*\d{1,3}(?:\.\d{1,3})+\s+[^.?!]{3,80}?(?=\b[A-Z][a-z]+\s+(?:is|are|refers?|can|consists?|contains?|occurs?|proceeds?|produces?|uses?)\b)"

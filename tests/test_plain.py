@@ -142,3 +142,13 @@ def test_knowledge_of_arabic_sentences(spark):
     from pyspark.sql import functions as F
 
     assert [r["k"] for r in rows.select(fn.knowledge_type(F.col("text")).alias("k")).collect()] == list(cases.values())
+
+
+def test_inline_headings_go(spark):
+    from lyceum.functions import text as fn
+    from pyspark.sql import functions as F
+
+    cases = {"3.2 The Nucleus and Genetic Material Nucleus is defined as the centre.": "Nucleus is defined as the centre.", "  3.2.1 Cells Enzymes can speed up reactions. ": "Enzymes can speed up reactions.", "3.2 Only a Heading": "3.2 Only a Heading", "Plain text is plain.": "Plain text is plain.", "": ""}
+    rows = spark.createDataFrame([(x,) for x in cases], "text string")
+    assert [r["t"] for r in rows.select(fn.without_inline_heading(F.col("text")).alias("t")).collect()] == list(cases.values())
+    assert spark.createDataFrame([(None,)], "text string").select(fn.without_inline_heading(F.col("text")).alias("t")).first()["t"] is None
