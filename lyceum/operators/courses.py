@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lyceum.functions.study import half_even
+
 
 def percent(done: Column, total: Column, digits: int = 0) -> Column:
     """Share in percent, halves to even; 0 for nothing."""
-    return F.when(total > 0, F.bround(done / total * 100, digits)).otherwise(F.lit(0.0))
+    return F.when(total > 0, half_even(done / total * 100, digits)).otherwise(F.lit(0.0))
 
 
 def catalogue(courses: DataFrame, doctor_id: int | None = None, published: Column | None = None) -> DataFrame:
@@ -53,7 +55,7 @@ def completion_rate(enrollments: DataFrame, lessons: DataFrame, progress: DataFr
     finished = done.join(course_totals(lessons), "course").filter("n = total").groupBy("course").agg(F.count("*").alias("finishers"))
     rows = course_totals(lessons).join(enrolled, "course", "left").join(finished, "course", "left")
     rows = rows.select("course", "total", F.coalesce("enrolled", F.lit(0)).alias("enrolled"), F.coalesce("finishers", F.lit(0)).alias("finishers"))
-    rate = F.when((F.col("enrolled") > 0) & (F.col("total") > 0), F.bround(F.col("finishers") / F.col("enrolled") * 100, 1))
+    rate = F.when((F.col("enrolled") > 0) & (F.col("total") > 0), half_even(F.col("finishers") / F.col("enrolled") * 100, 1))
     return rows.select("course", "enrolled", "finishers", rate.alias("rate"))
 
 
