@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyceum.functions.study import round_half_up
+from lyceum.functions.study import exact_avg, round_half_up
 from lyceum.operators import activity as ops
 from lyceum.sources import tables as t
 
@@ -36,7 +36,7 @@ def d11_profile_stats(spark: SparkSession, d: str) -> DataFrame:
     """Attempts, average score and hours, per user; halves up."""
     a = t.attempts(spark, d)
     hours = round_half_up(F.sum(F.floor(F.col("score") * 60)) / 3600 * 10) / 10
-    return a.groupBy(F.col("file_id").alias("user_id")).agg(F.count("*").alias("attempts"), round_half_up(F.avg("score")).alias("average"), hours.alias("hours"))
+    return a.groupBy(F.col("file_id").alias("user_id")).agg(F.count("*").alias("attempts"), round_half_up(exact_avg(F.col("score"))).alias("average"), hours.alias("hours"))
 
 
 def d14_challenges(spark: SparkSession, d: str) -> DataFrame:
