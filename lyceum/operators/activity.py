@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyceum.sources.shared import stored
-from lyceum.functions.study import level_of, round_half_up, xp_for_level
+from lyceum.functions.study import exact_sum, level_of, round_half_up, xp_for_level
 
 
 def totals(ledger: DataFrame, as_of: Column) -> DataFrame:
-    """user_id, xp (never below 0) and the points of the last 24 hours, 7 and 30 days, spending left out."""
-    gained = lambda days: F.coalesce(F.sum(F.when((F.col("amount") > 0) & (F.col("ts") >= as_of - F.expr(f"INTERVAL {days} DAYS")), F.col("amount"))), F.lit(0.0))
+    """user_id, xp (never below 0) and the points of the last 24 hours, 7 and 30 days, spending left out; sums are exact."""
+    gained = lambda days: F.coalesce(exact_sum(F.when((F.col("amount") > 0) & (F.col("ts") >= as_of - F.expr(f"INTERVAL {days} DAYS")), F.col("amount"))), F.lit(0.0))
     return ledger.groupBy("user_id").agg(
-        F.greatest(F.lit(0.0), F.sum("amount")).alias("xp"), gained(1).alias("today_xp"), gained(7).alias("weekly_xp"), gained(30).alias("monthly_xp")
+        F.greatest(F.lit(0.0), exact_sum(F.col("amount"))).alias("xp"), gained(1).alias("today_xp"), gained(7).alias("weekly_xp"), gained(30).alias("monthly_xp")
     )
 
 
