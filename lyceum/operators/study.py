@@ -13,7 +13,7 @@ from lyceum.functions import study as fn
 def attempt_summary(attempts: DataFrame) -> DataFrame:
     """file_id, attempts, average, latest: the latest quiz, or where there is none the latest exam."""
     last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("score")), F.when(F.col("kind") == kind, F.struct("taken_at", "attempt_id")))
-    return attempts.groupBy("file_id").agg(F.count("*").alias("attempts"), F.avg("score").alias("average"), F.coalesce(last("quiz"), last("exam")).alias("latest"))
+    return attempts.groupBy("file_id").agg(F.count("*").alias("attempts"), fn.exact_avg(F.col("score")).alias("average"), F.coalesce(last("quiz"), last("exam")).alias("latest"))
 
 
 def signals(files: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
