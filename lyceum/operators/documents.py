@@ -44,7 +44,8 @@ def cleaned(rows: DataFrame, keys_of_cleaned: bool = False, most_words: int = 15
 
     The keys that repeat are those of the raw lines, or, as the second variant has it, of the cleaned ones.
     """
-    clean = rows.withColumn("clean", fn.clean_line(F.col("line")))
+    # A generator, as Spark would work out the cleaned line again for each filter and column behind it.
+    clean = rows.select("*", F.explode(F.array(fn.clean_line(F.col("line")))).alias("clean"))
     repeated = repeated_keys(clean.select("doc_id", "page", F.col("clean").alias("line")) if keys_of_cleaned else rows)
     kept = clean.withColumn("key", fn.line_key(F.col("clean"))).filter(F.length("key") >= 2)
     marked = kept.join(repeated.select("doc_id", "key", F.lit(True).alias("again")), ["doc_id", "key"], "left")
