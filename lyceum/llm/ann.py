@@ -35,7 +35,8 @@ SUBSPACES, CODEWORDS = 16, 256
 LEAST_SHARD, MOST_SHARDS, BLOCK = 2_048, 10_000, 4_096
 #: Share of products whose error by codes is larger than the one reckoned with.
 MISSED = 1e-5
-_TRIALS = 400
+#: Queries of the sample that the fit tries, and so many at once: a table of those by the whole sample is in memory.
+_TRIALS, _TRIALS_AT_ONCE = 400, 16
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -99,20 +100,31 @@ def fit(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.95, seed:
     index.books = [np.zeros((1, 1))] * min(SUBSPACES, sample.shape[1])
     index.books = [_k_means(np.ascontiguousarray(rest[:, p]), min(CODEWORDS, len(rest)), rng) for p in index.parts()]
     trial = rng.choice(len(sample), min(_TRIALS, len(sample)), replace=False)
-    queries = sample[trial]
-    lengths = np.sqrt((queries**2).sum(1))
     codes = index.codes(sample, near)
     off = index.left_out(sample, near, codes)
-    exact = queries @ sample.T
-    tables = index.tables(queries)
-    around = queries @ index.centroids.T
-    around = around[:, near] + sum(t[:, codes[:, m]] for m, t in enumerate(tables))
-    scale = lengths[:, None] * np.maximum(off, 1e-12)[None, :]
-    index.error = float(min(1.0, np.quantile(np.abs(exact - around) / np.maximum(scale, 1e-9 * np.abs(exact).max()), 1 - MISSED)))
-    exact[np.arange(len(trial)), trial] = -np.inf
-    best = np.argsort(-exact, axis=1)[:, : min(k, len(sample) - 1)]
-    order = np.argsort(np.argsort(-(queries @ index.centroids.T), axis=1), axis=1)
-    needed = np.take_along_axis(order, near[best], axis=1)  # the rank of the cell that holds each neighbour
+    blocks = [trial[i : i + _TRIALS_AT_ONCE] for i in range(0, len(trial), _TRIALS_AT_ONCE)]
+    largest = max(np.abs(sample[block] @ sample.T).max() for block in blocks)
+    # Of the errors only those from the quantile on are kept, so that no table of all trials by the whole sample stands in memory.
+    place = (len(trial) * len(sample) - 1) * (1 - MISSED)
+    tail = len(trial) * len(sample) - int(place)
+    errors, needed = np.zeros(0), []  # needed: the rank of the cell that holds each neighbour
+    for block in blocks:
+        queries = sample[block]
+        exact = queries @ sample.T
+        by_centroid = queries @ index.centroids.T
+        around = by_centroid[:, near]
+        for m, t in enumerate(index.tables(queries)):
+            around += t[:, codes[:, m]]
+        scale = np.sqrt((queries**2).sum(1))[:, None] * np.maximum(off, 1e-12)[None, :]
+        errors = np.concatenate([errors, (np.abs(exact - around) / np.maximum(scale, 1e-9 * largest)).ravel()])
+        errors = np.partition(errors, len(errors) - tail)[len(errors) - tail :] if len(errors) > tail else errors
+        exact[np.arange(len(block)), block] = -np.inf
+        best = np.argsort(-exact, axis=1)[:, : min(k, len(sample) - 1)]
+        order = np.argsort(np.argsort(-by_centroid, axis=1), axis=1)
+        needed.append(np.take_along_axis(order, near[best], axis=1))
+    errors.sort()
+    index.error = float(min(1.0, errors[0] + (place - int(place)) * (errors[min(1, len(errors) - 1)] - errors[0])))
+    needed = np.concatenate(needed)
     reached = np.cumsum(np.bincount(needed.ravel(), minlength=cells)) / max(1, needed.size)
     index.probes = int(np.searchsorted(reached, recall)) + 1 if needed.size else cells
     index.probes = min(index.probes, cells)
