@@ -11,12 +11,14 @@ with codes and reranking, and as many more as a query needs for k ids.
 
 The index is dealt out in shards: small cells share one, a large cell is spread over several. A query goes to
 the shards of its cells with the cells it looks into there, many queries to a shard in blocks. A task holds one
-shard and one block and sends back `k` rows per query, so neither hot cells nor many queries gather in one task.
+shard and one block, so neither hot cells nor many queries gather in one task. A query's shards take turns, the
+nearest alone, then four times as many each turn: the k-th best found so far is a floor, below which no shard sends
+anything back. So a query costs about k rows a turn, with turns by the logarithm of its shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,8 @@ CELLS_BY_ROOT, LEAST_SAMPLE = 4, 32
 SUBSPACES, CODEWORDS = 16, 256
 #: Rows of a shard: at least LEAST_SHARD, and more where that would make over MOST_SHARDS shards; queries of a block.
 LEAST_SHARD, MOST_SHARDS, BLOCK = 2_048, 10_000, 4_096
+#: A turn ends with so many times the shards that a query has seen by the turn before.
+TURN = 4
 #: Share of products whose error by codes is larger than the one reckoned with.
 MISSED = 1e-5
 #: Queries of the sample that the fit tries, and so many at once: a table of those by the whole sample is in memory.
@@ -159,7 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
 
 def _search(base: DataFrame, asked: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each shard for the queries that look into it; base and asked (vec_id, v) of one length."""
+    """(query_id, vec_id, score): the k best for each query; base and asked (vec_id, v) of one length."""
     spark = base.sparkSession
     # Equal vectors are one node; the window drops what is beyond the k + 1 smallest ids before the shuffle.
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
@@ -200,7 +204,7 @@ def _search(base: DataFrame, asked: DataFrame, dim: int, k: int, recall: float)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, shards, looked = [], [], []
+            row, shards, looked, turns = [], [], [], []
             for i, cells in enumerate(index.cells_of(_matrix(batch.column(1), dim), held, k + 1)):
                 by_shard: dict[int, list[int]] = {}
                 for cell in cells.tolist():
@@ -210,24 +214,45 @@ def _search(base: DataFrame, asked: DataFrame, dim: int, k: int, recall: float)
                 row += [i] * len(by_shard)
                 shards += by_shard
                 looked += by_shard.values()
+                turns += [_turn(place) for place in range(len(by_shard))]
             some = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shards, pa.int32()), pa.array(looked, pa.list_(pa.int32()))], ["query_id", "q", "shard", "cells"])
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shards, pa.int32()), pa.array(looked, pa.list_(pa.int32())), pa.array(turns, pa.int32())], ["query_id", "q", "shard", "cells", "turn"])
 
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(ask, "query_id long, q array<double>, shard int, cells array<int>")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(ask, "query_id long, q array<double>, shard int, cells array<int>, turn int")
     asked = cut(asked, "ann-queries")
-    blocks = cut(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-blocks")
-    entered = entered.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def look(entries: pa.Table, questions: pa.Table) -> pa.Table:
         found = _look(index, entries, questions, k) if entries.num_rows and questions.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
+    best = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    for turn in range(1 + (asked.agg(F.max("turn")).first()[0] or 0)):
+        floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select("query_id", "floor")
+        now = asked.filter(F.col("turn") == turn).drop("turn").join(floors, "query_id", "left")
+        found = best.union(_asked_of_shards(entered, now, look))
+        best = cut(found.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "ann-best")
+    return best
+
+
+def _turn(place: int) -> int:
+    """The turn in which a query looks into its shard at a place of its order, from 0."""
+    turn, seen = 0, 1
+    while place >= seen:
+        turn, seen = turn + 1, seen * TURN
+    return turn
+
+
+def _asked_of_shards(entered: DataFrame, asked: DataFrame, look: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """(query_id, vec_id, score): what shards (entered) hold for the queries (asked) that look into them, a block of queries at a time."""
+    blocks = cut(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-blocks")
+    entered = entered.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
     return entered.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(look, "query_id long, vec_id long, score double")
 
 
 def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one shard for each query of one block."""
+    """The k best of one shard for each query of one block, those below the query's floor (null: none) left out."""
     entries, questions = entries.combine_chunks(), questions.combine_chunks()
     take = lambda t, name: t.column(name).combine_chunks()
     lists, cells = take(entries, "ids"), np.asarray(take(entries, "cell"))
@@ -237,6 +262,7 @@ def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple
     query_ids, queries = np.asarray(take(questions, "query_id")), _matrix(take(questions, "q"), index.dim)
     looked = [set(c) for c in take(questions, "cells").to_pylist()]
     lengths = np.sqrt((queries**2).sum(1))
+    floors = np.array([-np.inf if x is None else x for x in take(questions, "floor").to_pylist()])
     slack = 1e-9 * lengths * np.sqrt((vectors**2).sum(1)).max()  # more than the sums can be rounded by
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     members = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
@@ -250,9 +276,13 @@ def _look(index: Index, entries: pa.Table, questions: pa.Table, k: int) -> tuple
             if len(asking):
                 products[np.ix_(asking, rows)] = (queries[part][asking] @ index.centroids[cell])[:, None] + sum(t[asking][:, codes[rows, m]] for m, t in enumerate(tables))
         for i, around in enumerate(products, start):
-            rows = _within_reach(around, index.error * lengths[i] * off + slack[i], k)
+            floor = floors[i] - slack[i]
+            error = index.error * lengths[i] * off + slack[i]
+            rows = _within_reach(around, error, k)
+            rows = rows[around[rows] + error[rows] >= floor]
             scores = vectors[rows] @ queries[i]
             best = _within_reach(scores, slack[i], k)  # besides the best, what rounding may tie with them
+            best = best[scores[best] >= floor]
             rows, scores = rows[best], scores[best]
             n = bounds[rows + 1] - bounds[rows]
             at = np.repeat(bounds[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
