@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,18 +271,24 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word hashes and edges of the up to NEIGHBOURS - 1 words on either side of the entries wanted (doc_id, start, a, b, left, right).
+    """Word hashes and steps (code points from edge to edge) of the up to NEIGHBOURS - 1 words on either side of the entries wanted (doc_id, start, a, b, left, right).
 
     at and to are the entry's start and stop, word its first word's number; a and b digest it with the nearest word of that side.
+    Entries whose surroundings an earlier place of their text has in full go as far as these: they come united, as spans (at, to)
+    from one word to the end of another (word, end), without words. end is null where surroundings are to be compared.
     """
     by_doc = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("a", "b", "start", "left", "right")).alias("__wanted"))
     by_doc = F.broadcast(by_doc) if wanted.count() <= MOST_BROADCAST else by_doc
     found = docs.join(by_doc, F.col("doc_id") == F.col("__doc")).select(F.col("__doc").alias("doc_id"), "text", "__wanted")
 
+    names = ["doc_id", "at", "to", "word", "end", "before", "a", "b", "words", "steps"]
+
     def around(reader: Reader, doc_id: int, text: str, wants: pa.StructArray) -> Iterator[pa.RecordBatch]:
         hashes, starts, ends, _ = reader.words(text)
         digests = reader.digests(hashes)
         a, b, start, left, right = (np.asarray(wants.field(k).to_numpy(zero_copy_only=False)) for k in range(5))
+        order = np.argsort(start, kind="stable")
+        a, b, start, left, right = (x[order] for x in (a, b, start, left, right))
         i = np.searchsorted(starts, start)
         fits = i + LEAST_WORDS <= len(hashes)
         a, b, i, left, right = (x[fits] for x in (a, b, i, left, right))
@@ -290,12 +297,22 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for before, here in ((True, i[left & (i > 0)]), (False, i[right & (i + LEAST_WORDS < len(hashes))])):
             stop = here + LEAST_WORDS
             n = np.minimum(NEIGHBOURS - 1, here if before else len(hashes) - stop)
+            low, high = (here - n, stop) if before else (here, stop + n)
+            again = np.ones(len(here), dtype=bool)
+            again[np.unique(digests(low, high)[0], return_index=True)[1]] = False
+            if again.any():
+                i, j = _runs(starts[low[again]], ends[high[again] - 1])
+                none = np.zeros(len(i), dtype=np.int64)
+                columns = [np.full(len(i), doc_id, np.int64), i, j, np.searchsorted(starts, i).astype(np.int32), (np.searchsorted(ends, j) + 1).astype(np.int32), np.full(len(i), before), none, none]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([[]] * len(i), pa.list_(pa.int64())), pa.array([[]] * len(i), pa.list_(pa.int32()))], names)
+            here, stop, n = here[~again], stop[~again], n[~again]
             offsets = np.concatenate([[0], np.cumsum(n)])
             step = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
             at = np.repeat(here, n) - 1 - step if before else np.repeat(stop, n) + step
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (hashes[at].view(np.int64), (starts if before else ends)[at])]
-            columns = [np.full(len(here), doc_id, np.int64), starts[here], ends[stop - 1], here.astype(np.int32), np.full(len(here), before), *digests(here - before, stop + (not before))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc_id", "at", "to", "word", "before", "a", "b", "words", "edges"])
+            onward = starts[at + 1] - starts[at] if before else ends[at] - ends[at - 1]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (hashes[at].view(np.int64), onward)]
+            columns = [np.full(len(here), doc_id, np.int64), starts[here], ends[stop - 1], here.astype(np.int32), pa.nulls(len(here), pa.int32()), np.full(len(here), before), *digests(here - before, stop + (not before))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(1, 1)
@@ -304,7 +321,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                     yield from around(reader, doc_id, text.as_py() or "", batch.column(2)[k].values)
 
-    return found.mapInArrow(run, "doc_id long, at int, to int, word int, before boolean, a long, b long, words array<long>, edges array<int>")
+    return found.mapInArrow(run, "doc_id long, at int, to int, word int, end int, before boolean, a long, b long, words array<long>, steps array<int>")
 
 
 def _numbered(*columns: np.ndarray) -> np.ndarray:
@@ -318,10 +335,15 @@ def _numbered(*columns: np.ndarray) -> np.ndarray:
 
 def _as_far_as_shared(rows: pa.Table) -> pa.Table:
     """Entries with their surroundings as far as they stand elsewhere too: what an earlier place has, and what only later documents have."""
-    rows = rows.combine_chunks()
+    known = rows.filter(pc.is_valid(rows["end"]))
+    out = [pa.table({"doc_id": known["doc_id"], "start": known["at"], "stop": known["to"], "word": known["word"], "end": known["end"], "first": known["doc_id"], "kept": pa.array(np.zeros(len(known), dtype=bool))})]
+    rows = rows.filter(pc.is_null(rows["end"])).combine_chunks()
+    if not len(rows):
+        return out[0]
     doc, at, to, word, before, a, b = (np.asarray(rows[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("doc_id", "at", "to", "word", "before", "a", "b"))
-    lists = [rows[c].combine_chunks() for c in ("words", "edges")]
-    words, edges = (np.asarray(x.flatten()) for x in lists)
+    lists = [rows[c].combine_chunks() for c in ("words", "steps")]
+    words, steps = (np.asarray(x.flatten()) for x in lists)
+    onward = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
     n = np.asarray(lists[0].value_lengths())
     first_word = np.concatenate([[0], np.cumsum(n)])[:-1]
     place = _numbered(doc, at)
@@ -345,11 +367,10 @@ def _as_far_as_shared(rows: pa.Table) -> pa.Table:
         if not len(alive):
             break
         group = _numbered(group, words[first_word[alive] + e])
-    out = []
     for k in (0, 1):
         i = np.flatnonzero(reach[k])
-        edge = edges[first_word[i] + reach[k, i] - 1]
-        span = {"start": np.where(before[i], edge, at[i]), "stop": np.where(before[i], to[i], edge)}
+        far = (onward[first_word[i] + reach[k, i]] - onward[first_word[i]]).astype(np.int32)
+        span = {"start": at[i] - before[i] * far, "stop": to[i] + ~before[i] * far}
         numbers = {"word": (word[i] - before[i] * reach[k, i]).astype(np.int32), "end": (word[i] + LEAST_WORDS + ~before[i] * reach[k, i]).astype(np.int32)}
         out.append(pa.table({"doc_id": doc[i], **span, **numbers, "first": first[k, i], "kept": np.full(len(i), k == 1)}))
     return pa.concat_tables(out)
@@ -364,15 +385,17 @@ def _entries(docs: DataFrame, found: DataFrame) -> DataFrame:
     shared = entries.join(held.filter("first < last or repeated > 0"), ["a", "b"]).withColumn("kept", kept).filter(~kept | (F.col("first") < F.col("last")))
     numbers = [F.min("word").alias("word"), F.max("end").alias("end")]
     outer = [f(F.struct("a", "b"), F.struct("start", "a", "b")).alias(n) for f, n in ((F.min_by, "leftmost"), (F.max_by, "rightmost"))]
-    runs = cut(_united(shared.withColumn("end", F.col("word") + LEAST_WORDS), numbers + outer), "passages-runs")
+    runs = cut(_united(shared.withColumn("end", F.col("word") + LEAST_WORDS), numbers + outer), "passages-runs", tidy=True)
     ends = runs.select("leftmost.*", F.lit(True).alias("left"), F.lit(False).alias("right")).union(runs.select("rightmost.*", F.lit(False), F.lit(True))).groupBy("a", "b").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     # What stands elsewhere as a part of a longer run counts as well, so all places of such entries are wanted.
-    wanted = cut(entries.join(ends, ["a", "b"]).select("doc_id", "start", "a", "b", "left", "right").distinct(), "passages-ends")
+    wanted = cut(entries.join(ends, ["a", "b"]).select("doc_id", "start", "a", "b", "left", "right").distinct(), "passages-ends", tidy=True)
     sides = wanted.agg(F.sum(F.col("left").cast("int") + F.col("right").cast("int"))).first()[0] or 0
     # By the nearest word too, so places of a common entry are apart unless they go on alike.
     buckets = max(1, sides // BUCKET)
-    around = _surroundings(docs, wanted).withColumn("bucket", F.pmod(F.xxhash64("before", "a", "b"), F.lit(buckets)))
+    dealt = F.when(F.col("end").isNull(), F.xxhash64("before", "a", "b")).otherwise(F.xxhash64("doc_id", "at"))
+    around = _surroundings(docs, wanted).withColumn("bucket", F.pmod(dealt, F.lit(buckets)))
     longer = around.groupBy("bucket").applyInArrow(_as_far_as_shared, "doc_id long, start int, stop int, word int, end int, first long, kept boolean")
+    longer = cut(longer, "passages-longer", tidy=True)  # the texts that were shuffled to find them go
     every = runs.select("doc_id", "start", "stop", "word", "end", "first", "kept").union(longer)
     return _united(every, numbers).filter(F.col("end") - F.col("word") >= LEAST_PASSAGE).select("doc_id", "start", "stop", "first", "kept")
 
@@ -427,11 +450,11 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, row
     found = cut(_read(docs, tuned_bands(similarity, recall, rows), rows), "passages")
     by_entry = _entries(docs, found)
     paragraphs = found.filter(F.col("kind") == _PARAGRAPH)
-    classes = cut(paragraphs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "passages-paragraphs")
+    classes = cut(paragraphs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "passages-paragraphs", tidy=True)
     near = _verified(docs, paragraphs, classes, similarity)
     hexes = F.concat(F.hex("a"), F.lit("-"), F.hex("b"))
     tied = classes.join(near.select(F.col("a").alias("na"), F.col("b").alias("nb"), "component"), (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left")
-    tied = cut(tied.select("a", "b", "first", "last", F.coalesce("component", hexes).alias("component")), "passages-classes")
+    tied = cut(tied.select("a", "b", "first", "last", F.coalesce("component", hexes).alias("component")), "passages-classes", tidy=True)
     ends = tied.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last").select("component", "first")
     by_class = tied.select("a", "b", "component").join(ends, "component").select("a", "b", "first")
     by_paragraph = paragraphs.select("a", "b", "doc_id", "start", "stop").join(by_class, ["a", "b"]).select("doc_id", "start", "stop", "first")
@@ -447,8 +470,8 @@ def _verified(docs: DataFrame, paragraphs: DataFrame, classes: DataFrame, simila
     where = paragraphs.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "doc_id", "start", "stop")
     wanted = one_each.join(where, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & (F.col("first") == F.col("doc_id")))
     node = F.concat(F.hex("a"), F.lit("-"), F.hex("b")).alias("node")
-    wanted = cut(wanted.select("doc_id", "start", "stop", "a", "b", node, "cluster").distinct(), "passages-wanted")
-    sets = cut(_sets(docs, wanted).dropDuplicates(["node"]), "passages-sets")
+    wanted = cut(wanted.select("doc_id", "start", "stop", "a", "b", node, "cluster").distinct(), "passages-wanted", tidy=True)
+    sets = cut(_sets(docs, wanted).dropDuplicates(["node"]), "passages-sets", tidy=True)
     units = in_units(sets, ["cluster"], F.col("node"), block=256)
     links = units.groupBy("cluster", "unit_a", "unit_b").applyInArrow(lambda t: _compare(t, similarity), "a string, b string")
     groups = connected_components(links)
