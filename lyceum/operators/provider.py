@@ -37,20 +37,20 @@ def knowledge_named(name: Column, evidence: Column) -> Column:
     return out
 
 
-def _quoted(proposals: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, place, evidence: up to three quotes of each proposal that teach, share a word with its name and stand on a page that it may cite, in order."""
+def _quoted(proposals: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, place, evidence: up to three quotes of each proposal that teach, share a word with its name and stand on a page (doc_id, page, hay) that it may cite, in order."""
     # Of quotes alike in their words the first counts.
     each = proposals.select("doc_id", "place", "name", "pages", F.posexplode(F.coalesce("quotes", F.array().cast("array<string>"))).alias("k", "quote"))
     each = each.withColumn("sentence", F.trim(F.regexp_replace(F.coalesce("quote", F.lit("")), r"\s+", " ")))
     each = ops.teaching_sentences(each).drop("content").withColumn("key", evidence_key(F.col("sentence"))).filter("key <> ''")
     own = F.array_distinct(fn.content_tokens(F.col("name")))
     each = each.filter((F.size(own) == 0) | (F.size(F.array_intersect(own, F.split("key", " "))) > 0))
-    texts = pages.select("doc_id", "page", evidence_key(F.col("text")).alias("hay"))
-    any_page = F.size("pages") == 0
-    met = each.select("doc_id", "place", "k", "sentence", "key", "pages").join(texts, "doc_id").filter((any_page | F.array_contains("pages", F.col("page"))) & F.contains("hay", F.col("key")))
-    # Claimed pages are tried in the order in which they are claimed, else by number.
-    turn = F.when(any_page, F.col("page")).otherwise(F.array_position("pages", F.col("page")).cast("int"))
-    first = met.groupBy("doc_id", "place", "k", "sentence", "key").agg(F.min_by("page", turn).alias("page"))
+    # Claimed pages are tried in the order in which they are claimed, and meet by their number; else all, by number.
+    columns = ["doc_id", "place", "k", "sentence", "key"]
+    claimed = each.filter(F.size("pages") > 0).select(*columns, F.posexplode("pages").alias("turn", "page")).join(texts, ["doc_id", "page"])
+    other = each.filter(F.size("pages") == 0).select(*columns).join(texts, "doc_id").withColumn("turn", F.col("page"))
+    met = claimed.select(*columns, "turn", "page", "hay").union(other.select(*columns, "turn", "page", "hay")).filter(F.contains("hay", F.col("key")))
+    first = met.groupBy("doc_id", "place", "k", "sentence", "key").agg(F.min_by("page", "turn").alias("page"))
     new = F.row_number().over(Window.partitionBy("doc_id", "place", "key").orderBy("k"))
     few = first.withColumn("__n", new).filter("__n = 1")
     few = few.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "place").orderBy("k"))).filter("__k <= 3")
@@ -67,7 +67,9 @@ def verified(proposals: DataFrame, pages: DataFrame, taught: DataFrame) -> DataF
     count for nothing; rows with a null doc_id or place are dropped; places are unique in a document.
     """
     name = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s+", " ")), r"^[-:;,. ]+|[-:;,. ]+$", "")
-    known = pages.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("__known"))
+    # Pages are worked out once: their words are what quotes are looked for in, their numbers what may be cited.
+    texts = stored(pages.select("doc_id", "page", evidence_key(F.col("text")).alias("hay")), "pages")
+    known = texts.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("__known"))
     rows = proposals.filter("doc_id is not null and place is not null").select("doc_id", "place", name.alias("name"), "type", "quotes", F.col("pages").alias("__claimed")).join(known, "doc_id", "left")
     numbers = F.transform(F.coalesce("__claimed", F.array().cast("array<string>")), lambda x: F.trim(x).try_cast("int"))
     fits = F.array_distinct(F.filter(numbers, lambda p: F.coalesce(F.array_contains("__known", p), F.lit(False))))
@@ -80,7 +82,7 @@ def verified(proposals: DataFrame, pages: DataFrame, taught: DataFrame) -> DataF
     ])
     rows = stored(rows.withColumn("fault", fault).drop("__claimed", "__known", "__order"), "proposals")
     good = rows.filter("fault is null")
-    quoted = stored(_quoted(good, pages), "quoted")
+    quoted = stored(_quoted(good, texts), "quoted")
     rest = good.join(quoted, ["doc_id", "place"], "left_anti")
     near = related(rest.select("doc_id", F.col("place").cast("string").alias("key"), F.col("name").alias("concept")), taught, 3)
     own = near.withColumnRenamed("place", "__k").join(taught.select("doc_id", "ord", "sentence"), ["doc_id", "ord"]).groupBy("doc_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "page", F.col("sentence").alias("text")))), lambda e: e.dropFields("__k")).alias("found"))
